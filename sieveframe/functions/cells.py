@@ -6,11 +6,16 @@ Cells are strings and ``''`` is the only missing value; ``stringify`` brings a t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveframe.functions.names import reserve
+
 # The characters that count as white space at the edge of a cell.
 WHITESPACE = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -51,7 +56,8 @@ def strip(cell: Column) -> Column:
 
 
 def is_blank(cell: Column) -> Column:
-    return strip(cell) == ""
+    """White space or nothing; looks no further than the first other character."""
+    return F.ltrim(cell, F.lit(WHITESPACE)) == ""
 
 
 def blank_to_empty(cell: Column) -> Column:
@@ -59,6 +65,15 @@ def blank_to_empty(cell: Column) -> Column:
     return F.when(is_blank(cell), "").otherwise(cell)
 
 
+def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` with ``value`` computed once, however often the function names it.
+
+    For long rules that few cells need: they stay out of the generated code of the common path,
+    which the JVM would otherwise refuse to compile for its size.
+    """
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _adjusted_exponent(number: Column) -> Column:
     """Decimal exponent of the leading digit, from the text alone; NULL if it is absurdly large."""
     unsigned = F.ltrim(number, F.lit("+-"))
@@ -74,7 +89,7 @@ def _adjusted_exponent(number: Column) -> Column:
 def is_number(cell: Column) -> Column:
     """Plain or scientific number text within bounds of length and magnitude."""
     scientific = cell.contains("e") | cell.contains("E")
-    bounded = F.coalesce(F.abs(_adjusted_exponent(cell)) <= MAX_EXPONENT, F.lit(False))
+    bounded = _bound(cell, lambda c: F.coalesce(F.abs(_adjusted_exponent(c)) <= MAX_EXPONENT, F.lit(False)))
     return cell.rlike(EXACT_NUMBER) | (
         cell.rlike(NUMBER) & (F.length(cell) <= MAX_NUMBER_LENGTH) & F.when(scientific, bounded).otherwise(True))
 
@@ -86,27 +101,37 @@ def iso_valid(cell: Column) -> Column:
     return cell.rlike(ISO_LIKE) & day_exists & time_reads
 
 
-def cell_class(cell: Column) -> Column:
-    """Observed kind of a cell, one of ``CLASSES``; the first match wins. Nothing is converted."""
+def exact_number(cell: Column) -> Column:
+    """The value as decimal(28,10) if the text fits it digit for digit, else NULL."""
+    return F.when(_may_be_number(cell) & cell.rlike(EXACT_NUMBER), cell.try_cast(EXACT_TYPE))
+
+
+def _may_be_number(cell: Column) -> Column:
+    """Numbers and dates open with a digit, a sign or a mark; plain text is told apart by one byte."""
+    return F.substring(cell, 1, 1).between("+", "9")
+
+
+def cell_class(cell: Column, exact: Column | None = None) -> Column:
+    """Observed kind of a cell, one of ``CLASSES``; the first match wins. Nothing is converted.
+
+    ``exact`` is the cell's ``exact_number`` where that is already at hand.
+    """
+    numeric = is_number(cell) if exact is None else exact.isNotNull() | is_number(cell)
     return (F.when(cell == "", MISSING)
+            .when(~_may_be_number(cell), TEXT)
             .when(cell.rlike(LEADING_ZERO), IDENTIFIER)
-            .when(is_number(cell), NUMERIC)
+            .when(numeric, NUMERIC)
             .when(cell.rlike(ISO_LIKE), F.when(iso_valid(cell), ISO_DATE).otherwise(INVALID_DATE))
             .otherwise(TEXT))
 
 
-def exact_number(cell: Column) -> Column:
-    """The value as decimal(28,10) if the text fits it digit for digit, else NULL."""
-    return F.when(cell.rlike(EXACT_NUMBER), cell.try_cast(EXACT_TYPE))
-
-
 def is_comma_number(cell: Column) -> Column:
     return cell.rlike(COMMA_NUMBER)
 
 
 def needs_guard(cell: Column) -> Column:
     """True when a spreadsheet could run the cell as a formula."""
-    opens_formula = F.substring(cell, 1, 1).isin(FORMULA_STARTS)
+    opens_formula = reduce(or_, [cell.startswith(mark) for mark in FORMULA_STARTS])
     return opens_formula & ~cell.rlike(NUMBER) & ~is_comma_number(cell)
 
 
@@ -136,13 +161,25 @@ def number_text(number: Column, missing: str = "não disponível") -> Column:
             .otherwise(F.translate(grouped, ",.", ".,")))
 
 
-def _float_text(number: Column) -> Column:
-    """Shortest text of a double: plain from 1e-4 up to 1e16, else with a two-digit exponent."""
-    text = number.cast("string")
-    mantissa = F.substring_index(text, "E", 1)
+def _one_digit_less(text: Column, number: Column) -> Column:
+    """``text`` rounded by a digit if it still reads back as ``number``; some runtimes print one too many."""
+    mantissa = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1)
+    digits = F.translate(mantissa, ".", "")
+    whole = F.length(F.substring_index(mantissa, ".", 1))
+    rounded = F.lpad(F.floor((digits.try_cast("decimal(20,0)") + 5) / 10).cast("string"), F.length(digits) - 1, "0")
+    fraction = F.rtrim(F.substr(rounded, whole + 1), F.lit("0"))
+    shorter = F.concat(
+        F.when(text.startswith("-"), "-").otherwise(""), F.substr(rounded, F.lit(1), whole), F.lit("."),
+        F.when(fraction == "", "0").otherwise(fraction), F.regexp_extract(text, "(E.*)?$", 0))
+    return F.when((F.length(text) > 17) & (F.length(F.ltrim(digits, F.lit("0"))) >= 17)
+                  & (shorter.try_cast("double") == number), shorter).otherwise(text)
+
+
+def _plain_notation(text: Column) -> Column:
+    """Plain from 1e-4 up to 1e16, else with an exponent of at least two digits."""
     exponent = F.substring_index(text, "E", -1).try_cast("int")
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    digits = F.rtrim(F.translate(mantissa, "-.", ""), F.lit("0"))
+    digits = F.rtrim(F.translate(F.substring_index(text, "E", 1), "-.", ""), F.lit("0"))
     tail = F.substr(digits, exponent + 2)
     large = F.concat(sign, F.rpad(digits, exponent + 1, "0"), F.lit("."),
                      F.when(tail == "", "0").otherwise(tail))
@@ -152,14 +189,26 @@ def _float_text(number: Column) -> Column:
     scientific = F.concat(
         sign, F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
         F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), "0"))
-    return (F.when(number.isNull() | F.isnan(number), "")
-            .when(text.endswith("Infinity"), F.concat(sign, F.lit("inf")))
+    return (F.when(text.endswith("Infinity"), F.concat(sign, F.lit("inf")))
             .when(~text.contains("E"), text)
             .when(exponent.between(0, 15), large)
             .when(exponent == -4, small)
             .otherwise(scientific))
 
 
+def _float_text(number: Column, printed: Column | None = None) -> Column:
+    """Shortest text of a double. Only exponents, infinities and long values take the slow branch."""
+    def rare(text: Column) -> Column:
+        return _bound(text, lambda t1: _bound(_one_digit_less(t1, number), lambda t2: _bound(
+            _one_digit_less(t2, number), lambda t3: _plain_notation(t3))))
+
+    if printed is None:
+        return _bound(number, lambda x: _bound(x.cast("string"), lambda text: _float_text(x, text)))
+    return (F.when(number.isNull() | F.isnan(number), "")
+            .when((F.length(printed) > 17) | printed.contains("E") | printed.contains("I"), rare(printed))
+            .otherwise(printed))
+
+
 def _clock_text(moment: Column, separator: str) -> Column:
     text = moment.cast("string")
     fraction = F.substring_index(text, ".", -1)
@@ -233,5 +282,10 @@ def column(name: str) -> Column:
 
 
 def stringify(df: DataFrame) -> DataFrame:
-    """Every column as cell text, missing values as ``''``."""
-    return df.select(*[to_text(column(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    """Every column as cell text, missing values as ``''``. Flat columns stay within generated code."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    printed = {name: reserve(f"_text_{i}", df.columns) for i, name in enumerate(floats)}
+    staged = df.withColumns({text: column(name).cast("double").cast("string") for name, text in printed.items()})
+    return staged.select(*[
+        (_float_text(column(f.name).cast("double"), column(printed[f.name])) if f.name in printed
+         else to_text(column(f.name), f.dataType)).alias(f.name) for f in df.schema.fields])

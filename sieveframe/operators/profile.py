@@ -37,13 +37,15 @@ def cell_facts(df: DataFrame, names: Sequence[str], weight: Column | None = None
     unpivoted = df.select(*carried, F.posexplode(F.array(*[C.column(n) for n in names])).alias("position", "raw"))
     kept = [F.col(f"row_{name}") for name in row_sums] + ([F.col("weight")] if weight is not None else [])
     value = unpivoted.select(*kept, "position", "raw", C.blank_to_empty(F.col("raw")).alias("cell"))
-    kinds = value.select(*kept, "position", "raw", "cell", C.cell_class(F.col("cell")).alias("class"))
-    number = F.when(F.col("class") == C.NUMERIC, C.exact_number(F.col("cell")))
-    numbers = kinds.select(*kept, "position", "raw", "cell", "class", number.alias("number"))
+    read = value.select(*kept, "position", "raw", "cell", C.exact_number(F.col("cell")).alias("exact"))
+    numbers = read.select(*kept, "position", "raw", "cell", "exact",
+                          C.cell_class(F.col("cell"), F.col("exact")).alias("class"))
 
     copies = F.lit(1) if weight is None else F.col("weight")
     counted = F.lit(True) if weight is None else F.col("weight") > 0
-    numeric, exact = F.col("class") == C.NUMERIC, F.col("number")
+    numeric = F.col("class") == C.NUMERIC
+    exact = F.when(numeric, F.col("exact"))
+    below_zero = (exact < 0) | (exact.isNull() & F.col("cell").rlike(r"^-[0-9.]*[1-9]"))
 
     def total(condition: Column | None = None) -> Column:
         share = copies if condition is None else F.when(condition, copies).otherwise(0)
@@ -60,7 +62,7 @@ def cell_facts(df: DataFrame, names: Sequence[str], weight: Column | None = None
     return numbers.groupBy("position", "class").agg(
         total().alias("cells"),
         total((F.col("class") == C.TEXT) & C.is_comma_number(F.col("cell"))).alias("comma_number"),
-        total(numeric & F.col("cell").rlike(r"^-[0-9.]*[1-9]")).alias("negative"),
+        total(numeric & below_zero).alias("negative"),
         total(numeric & exact.isNull()).alias("number_inexact"),
         F.min(F.when(counted, exact)).alias("min_num"),
         F.max(F.when(counted, exact)).alias("max_num"),

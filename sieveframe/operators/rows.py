@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from sieveframe.functions.cells import column, is_blank
 
 
+def all_of(conditions: Sequence[Column]) -> Column:
+    """Their conjunction as a balanced tree: generated code that stops at the first that fails."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return all_of(conditions[:half]) & all_of(conditions[half:])
+
+
 def row_is_blank(names: Sequence[str]) -> Column:
-    return F.forall(F.array(*[column(n) for n in names]), is_blank)
+    return all_of([is_blank(column(n)) for n in names])
 
 
 def drop_empty(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

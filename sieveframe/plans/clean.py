@@ -103,9 +103,10 @@ def row_steps(table: SourceTable, op: Operation, column: str | None = None, dire
     def changed(name: str) -> Column:
         return F.when(C.strip(C.column(name)) != C.column(name), 1).otherwise(0)
 
+    padded = [n for n in table.names if n not in table.stripped]
     values, converted, ignored = [], F.lit(0), F.lit(0)
     for name in table.names:
-        cell = C.strip(C.column(name)) if op.trim else C.column(name)
+        cell = C.strip(C.column(name)) if op.trim and name in padded else C.column(name)
         if op.convert and name == column:
             matches = cell.rlike(C.punctuation_pattern(direction))
             new = C.convert_punctuation(cell, direction)
@@ -113,7 +114,7 @@ def row_steps(table: SourceTable, op: Operation, column: str | None = None, dire
             ignored = F.when((cell != "") & ~matches, 1).otherwise(0)
             cell = new
         values.append(cell.alias(name))
-    trimmed = sum(map(changed, table.names), F.lit(0)) if op.trim else F.lit(0)
+    trimmed = sum(map(changed, padded), F.lit(0)) if op.trim else F.lit(0)
     odd = (F.when(C.column(table.width_column) != table.header_width, 1).otherwise(0)
            if table.width_column else F.lit(0))
     return table.data.select(*values, trimmed.cast("bigint").alias("_trimmed"), converted.alias("_converted"),

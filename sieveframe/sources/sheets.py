@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveframe.functions.cells import column, is_blank
+from sieveframe.functions.cells import column
 from sieveframe.functions.names import check_width, reserve
+from sieveframe.operators.rows import row_is_blank
 from sieveframe.sources.tables import WIDTH, SourceTable, as_table
 
 SHEET_KEY = "_sheet"
@@ -30,7 +31,7 @@ def sheet_table(sheets: dict[str, DataFrame], key: str = SHEET_KEY) -> SourceTab
     width_name = reserve(WIDTH, names)
 
     def titled(title: str, df: DataFrame, own: list[str]) -> DataFrame:
-        blank = F.forall(F.array(*[column(n) for n in own]), is_blank)
+        blank = row_is_blank(own)
         cells = [F.when(blank, "").otherwise(column(n)).alias(n) for n in own]
         return df.select(*cells, F.when(blank, "").otherwise(F.lit(title)).alias(key),
                          F.when(blank, 0).otherwise(len(names)).alias(width_name))

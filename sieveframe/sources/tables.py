@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ MAX_CELL_CHARS = 2 * 1024**2
 CHARSETS = {UTF8: "UTF-8", UTF16: "UTF-16", WINDOWS: "windows-1252"}
 SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet"}
 
+FREE_TEXT = (T.StringType, T.CharType, T.VarcharType, T.BinaryType)
+
 WIDTH = "_width"  # fields in the source row, kept beside the cells of ragged formats
 RAW = "_raw"
 
@@ -35,6 +37,7 @@ class SourceTable:
     encoding: str = ""
     delimiter: str = ""
     width_column: str | None = None
+    stripped: frozenset[str] = frozenset()  # columns whose text cannot have white space at its ends
     warnings: list[str] = field(default_factory=list)
 
     @property
@@ -47,7 +50,9 @@ def as_table(source: SourceTable | DataFrame) -> SourceTable:
     if isinstance(source, SourceTable):
         return source
     names = check_width(unique_names(source.columns))
-    return SourceTable(stringify(source).toDF(*names), names, list(source.columns), len(names))
+    renamed = source.toDF(*names)
+    stripped = frozenset(f.name for f in renamed.schema.fields if not isinstance(f.dataType, FREE_TEXT))
+    return SourceTable(stringify(renamed), names, list(source.columns), len(names), stripped=stripped)
 
 
 def table_of_fields(df: DataFrame, fields: str, headers: Sequence[str], width: int | None = None) -> SourceTable:
@@ -155,8 +160,7 @@ def _blank_lines(spark: SparkSession, path: str, sep: str, names: Sequence[str],
 
 
 def read_parquet(spark: SparkSession, path: str) -> SourceTable:
-    table = as_table(spark.read.parquet(path))
-    return SourceTable(table.data, table.names, table.originals, table.header_width, "parquet", path)
+    return replace(as_table(spark.read.parquet(path)), kind="parquet", path=path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
