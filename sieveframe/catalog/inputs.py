@@ -47,7 +47,8 @@ def multiline_round_trip(spark: SparkSession, folder: str) -> DataFrame:
                        "role", "text")
 
 
-_LINE = "concat_ws(',', id, priority, amount, case when contains(amount_br, ',') then '\"' || amount_br || '\"' else amount_br end, odate)"
+_LINE = "concat_ws(',', " + ", ".join(
+    f"case when contains({c}, ',') then '\"' || {c} || '\"' else {c} end" for c in DIRTY_COLUMNS) + ")"
 
 
 @query(f"""with d as ({D}), l as (select {_LINE} as line from d)

@@ -41,7 +41,8 @@ def _occurrences(text: Column, character: str) -> Column:
 
 def _decoded(value: Column, encoding: Column) -> Column:
     raw = value.cast("binary")
-    return F.when(encoding == UTF16, F.decode(raw, "UTF-16")).otherwise(F.try_validate_utf8(value))
+    pairs = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)  # a line break is two bytes
+    return F.when(encoding == UTF16, F.decode(pairs, "UTF-16")).otherwise(F.try_validate_utf8(value))
 
 
 def probe_files(spark: SparkSession, glob: str) -> DataFrame:
