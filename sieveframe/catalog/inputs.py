@@ -11,7 +11,7 @@ from sieveframe.catalog.cleaning import GUARDED, WITH_D
 from sieveframe.functions import cells as C
 from sieveframe.plans.clean import clean
 from sieveframe.session import scratch_folder
-from sieveframe.sinks.parts import assign_parts, part_files, write_parts, write_result
+from sieveframe.sinks.parts import LINE_END, assign_parts, header_line, part_files, write_parts, write_result
 from sieveframe.sources.files import manifest, probe_files
 from sieveframe.sources.fragments import stack_fragments
 from sieveframe.sources.payloads import json_rows as rows_of_json
@@ -56,7 +56,7 @@ _LINE = "concat_ws(',', " + ", ".join(
                   cast(max(strlen(line) + 2) as bigint) as longest, true as within_limit from l""")
 def part_assignment(spark: SparkSession, folder: str) -> DataFrame:
     parts = assign_parts(dirty_orders(spark, folder), PART_BYTES)
-    head = len("﻿".encode()) + len(",".join(DIRTY_COLUMNS)) + 2
+    head = len((header_line(DIRTY_COLUMNS, ",") + LINE_END).encode())
     sizes = parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum("line_bytes").alias("bytes"),
                                       F.max("line_bytes").alias("longest"))
     return sizes.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("line_bytes"), F.max("longest").alias("longest"),
@@ -68,7 +68,7 @@ def part_assignment(spark: SparkSession, folder: str) -> DataFrame:
 def written_parts(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "parts")
     write_result(clean(dirty_orders(spark, folder), "delimiter", delimiter=","), path, PART_BYTES)
-    head = len("﻿".encode()) + len(",".join(DIRTY_COLUMNS)) + 2
+    head = len((header_line(DIRTY_COLUMNS, ",") + LINE_END).encode())
     return part_files(spark, path).agg(
         (F.sum("bytes") - F.count("*") * head).alias("line_bytes"), (F.max("bytes") <= PART_BYTES).alias("within_limit"),
         (F.count("*") > 1).alias("split"))

@@ -90,17 +90,17 @@ def norm_text(spark: SparkSession, folder: str) -> DataFrame:
 def _html_sql(v: str) -> str:
     steps = v
     for pattern, new in [
-            ("(?s)<!--.*?-->", "﷐"),
-            (r"(?is)<script(\s[^>]*)?>.*?</script\s*>", "﷐"),
-            (r"(?is)<style(\s[^>]*)?>.*?</style\s*>", "﷐"),
-            (r"(?i)</(p|div|tr|br)(\s[^>]*)?>", "﷑"),
-            (r"(?i)<(p|div|tr|br)(\s[^>]*)?/>", "﷑"),
-            (r"<[a-zA-Z/!?]([^>=]|=\s*\"[^\"]*\"|=\s*''[^'']*''|=)*>", "﷐"),
-            ("([^﷐﷑]+)", "\\1 ")]:
+            ("(?s)<!--.*?-->", "\ufdd0"),
+            (r"(?is)<script(\s[^>]*)?>.*?</script\s*>", "\ufdd0"),
+            (r"(?is)<style(\s[^>]*)?>.*?</style\s*>", "\ufdd0"),
+            (r"(?i)</(p|div|tr|br)(\s[^>]*)?>", "\ufdd1"),
+            (r"(?i)<(p|div|tr|br)(\s[^>]*)?/>", "\ufdd1"),
+            (r"<[a-zA-Z/!?]([^>=]|=\s*\"[^\"]*\"|=\s*''[^'']*''|=)*>", "\ufdd0"),
+            ("([^\ufdd0\ufdd1<]+|<)", "\\1 ")]:
         steps = f"regexp_replace({steps}, '{pattern}', '{new}', 'g')"
     for name in ("copy", "middot", "quot", "lt", "gt", "nbsp", "amp"):
         steps = f"replace({steps}, '&{name};', '{chr(html.entities.name2codepoint[name])}')"
-    return f"replace(replace({steps}, '﷐', ''), '﷑', chr(10))"
+    return f"replace(replace({steps}, '\ufdd0', ''), '\ufdd1', chr(10))"
 
 
 @query(f"select page_id, {_html_sql('html')} as text from pages")

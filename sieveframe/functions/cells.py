@@ -165,14 +165,19 @@ def _one_digit_less(text: Column, number: Column) -> Column:
     """``text`` rounded by a digit if it still reads back as ``number``; some runtimes print one too many."""
     mantissa = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1)
     digits = F.translate(mantissa, ".", "")
-    whole = F.length(F.substring_index(mantissa, ".", 1))
-    rounded = F.lpad(F.floor((digits.try_cast("decimal(20,0)") + 5) / 10).cast("string"), F.length(digits) - 1, "0")
+    size = F.length(digits) - 1
+    number_text = F.floor((digits.try_cast("decimal(20,0)") + 5) / 10).cast("string")
+    rounded = F.lpad(number_text, F.greatest(size, F.length(number_text)), "0")
+    carry = F.length(rounded) - size  # 9.99… became 10.0
+    whole = F.length(F.substring_index(mantissa, ".", 1)) + carry
     fraction = F.rtrim(F.substr(rounded, whole + 1), F.lit("0"))
-    shorter = F.concat(
-        F.when(text.startswith("-"), "-").otherwise(""), F.substr(rounded, F.lit(1), whole), F.lit("."),
-        F.when(fraction == "", "0").otherwise(fraction), F.regexp_extract(text, "(E.*)?$", 0))
-    return F.when((F.length(text) > 17) & (F.length(F.ltrim(digits, F.lit("0"))) >= 17)
-                  & (shorter.try_cast("double") == number), shorter).otherwise(text)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    plain = F.concat(sign, F.substr(rounded, F.lit(1), whole), F.lit("."),
+                     F.when(fraction == "", "0").otherwise(fraction), F.regexp_extract(text, "(E.*)?$", 0))
+    next_power = F.concat(sign, F.lit("1.0E"), (F.substring_index(text, "E", -1).try_cast("int") + 1).cast("string"))
+    shorter = F.when((carry > 0) & text.contains("E"), next_power).otherwise(plain)
+    return F.when((F.length(F.ltrim(digits, F.lit("0"))) >= 16) & (shorter.try_cast("double") == number),
+                  shorter).otherwise(text)
 
 
 def _plain_notation(text: Column) -> Column:
@@ -205,7 +210,7 @@ def _float_text(number: Column, printed: Column | None = None) -> Column:
     if printed is None:
         return _bound(number, lambda x: _bound(x.cast("string"), lambda text: _float_text(x, text)))
     return (F.when(number.isNull() | F.isnan(number), "")
-            .when((F.length(printed) > 17) | printed.contains("E") | printed.contains("I"), rare(printed))
+            .when((F.length(printed) > 16) | printed.contains("E") | printed.contains("I"), rare(printed))
             .otherwise(printed))
 
 

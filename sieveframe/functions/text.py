@@ -94,7 +94,7 @@ def html_text(source: Column) -> Column:
         marked = F.regexp_replace(marked, rf"(?is)<{hidden}(\s[^>]*)?>.*?</{hidden}\s*>", _TAG)
     marked = F.regexp_replace(marked, rf"(?i)</({line_tags})(\s[^>]*)?>|<({line_tags})(\s[^>]*)?/>", _LINE)
     marked = F.regexp_replace(marked, rf"<[a-zA-Z/!?]{_BODY}>", _TAG)
-    runs = F.regexp_replace(marked, f"([^{_TAG}{_LINE}]+)", "$1 ")
+    runs = F.regexp_replace(marked, f"([^{_TAG}{_LINE}<]+|<)", "$1 ")
     return F.translate(decode_entities(runs), _LINE + _TAG, "\n")
 
 

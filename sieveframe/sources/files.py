@@ -19,52 +19,46 @@ def _binary(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
 
 
-def _paths(spark: SparkSession, glob: str) -> DataFrame:
-    return (_binary(spark, glob)
-            .select(F.col("_metadata.file_path").alias("path"), "length"))
-
-
-def _lines(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).text(glob).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"), "value")
-
-
 def is_skipped_line(line: Column) -> Column:
     """Lines the CSV reader leaves out: nothing but spaces and control characters, tabs included."""
     return line.rlike(r"^[\x00-\x20]*\z")
 
 
 def _occurrences(text: Column, character: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+    # Bytes, not characters: the text need not be valid UTF-8.
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
 
 
-def _decoded(value: Column, encoding: Column) -> Column:
-    raw = value.cast("binary")
+def _decoded(raw: Column, encoding: Column) -> Column:
     pairs = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)  # a line break is two bytes
-    return F.when(encoding == UTF16, F.decode(pairs, "UTF-16")).otherwise(F.try_validate_utf8(value))
+    return (F.when(encoding == UTF16, F.decode(pairs, "UTF-16"))
+            .when(encoding == WINDOWS, F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "UTF-8")))
 
 
 def probe_files(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per file: ``path, length, encoding, first_line, delimiter, open_lines, quotes, blank_lines``.
+    """One row per file: ``path, length, encoding, first_line, open_lines, quotes, blank_lines, delimiter``.
 
     ``open_lines`` counts physical lines with an odd number of quotes: more than none of them means
-    that cells hold line breaks. An odd ``quotes`` total means that a quote is never closed.
+    that cells hold line breaks. An odd ``quotes`` total means that a quote is never closed. Files
+    of zero length hold no line and are not listed.
     """
-    quotes = _occurrences(F.col("value"), '"')
-    found = _lines(spark, glob).groupBy("path").agg(
-        F.min_by("value", F.struct("block", "line_no")).alias("head"),
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.count_if(quotes % 2 == 1).alias("open_lines"),
-        F.sum(quotes).cast("bigint").alias("quotes"),
-        F.count_if(is_skipped_line(F.col("value"))).alias("blank_lines"))
-    mark = F.hex(F.substring(F.col("head").cast("binary"), 1, 2))
-    encoding = (F.when(mark.isin("FFFE", "FEFF"), UTF16)
-                .when(F.coalesce("valid", F.lit(True)), UTF8).otherwise(WINDOWS))
-    first_line = F.coalesce(_decoded(F.col("head"), encoding), F.col("head"), F.lit(""))
-    return (_paths(spark, glob).join(found, "path", "left")
-            .select("path", "length", encoding.alias("encoding"), first_line.alias("first_line"),
-                    *[F.coalesce(c, F.lit(0)).alias(c) for c in ("open_lines", "quotes", "blank_lines")])
+    value = F.col("value")
+    quotes = _occurrences(value, '"')
+    # Only lines of a file's first block can be its first; the others travel on without their text.
+    lines = spark.read.option("recursiveFileLookup", True).text(glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.when(F.col("_metadata.file_block_start") == 0, value.cast("binary")).alias("head"),
+        F.is_valid_utf8(value).alias("valid"), quotes.alias("quotes"), is_skipped_line(value).alias("skipped"))
+    found = lines.groupBy("path", "length").agg(
+        F.min_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("head"),
+        F.bool_and("valid").alias("valid"), F.count_if(F.col("quotes") % 2 == 1).alias("open_lines"),
+        F.sum("quotes").cast("bigint").alias("quotes"), F.count_if("skipped").alias("blank_lines"))
+    mark = F.hex(F.substring("head", 1, 2))
+    encoding = F.when(mark.isin("FFFE", "FEFF"), UTF16).when(F.col("valid"), UTF8).otherwise(WINDOWS)
+    first_line = _decoded(F.col("head"), encoding)
+    return (found.select("path", "length", encoding.alias("encoding"), first_line.alias("first_line"),
+                         "open_lines", "quotes", "blank_lines")
             .withColumn("delimiter", likely_delimiter(F.col("first_line"))))
 
 

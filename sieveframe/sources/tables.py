@@ -147,7 +147,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         warnings.append("blank lines are not counted where cells hold line breaks")
     elif facts["blank_lines"]:
         data = data.unionByName(_blank_lines(spark, path, sep, wide, width_name))
-    return SourceTable(data, wide, originals, len(names), "csv", path, encoding, sep, width_name, warnings)
+    return SourceTable(data, wide, originals, len(names), "csv", path, encoding, sep, width_name, warnings=warnings)
 
 
 def _blank_lines(spark: SparkSession, path: str, sep: str, names: Sequence[str], width_name: str) -> DataFrame:
