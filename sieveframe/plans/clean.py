@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,20 +46,23 @@ OPERATIONS = {
 }
 
 
-@dataclass(frozen=True)
 class CleanResult:
     """``data`` is a narrow plan (one shuffle if it removes copies); ``report`` is one aggregation.
 
     ``data`` carries unique names; ``output_names`` are those of the written header, which may repeat.
-    ``report`` is one row and holds the profile too, so that a single job yields both.
+    ``report`` is one row and holds the profile too, so that a single job yields both. It is planned
+    when first asked for.
     """
 
-    data: DataFrame
-    output_names: list[str]
-    report: DataFrame
-    delimiter: str
-    writes: bool
-    header_map: list[tuple[int, str, str]] = field(default_factory=list)
+    def __init__(self, data: DataFrame, output_names: list[str], make_report: Callable[[], DataFrame],
+                 delimiter: str, writes: bool, header_map: list[tuple[int, str, str]]) -> None:
+        self.data, self.output_names, self.delimiter = data, output_names, delimiter
+        self.writes, self.header_map = writes, header_map
+        self._make_report = make_report
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return self._make_report()
 
     @property
     def profile(self) -> DataFrame:
@@ -150,8 +155,11 @@ def clean(source: SourceTable | DataFrame, operation: str = "tidy", *, deduplica
     mapping = header_map(table.originals, targets)
     changed_headers = sum(a != b for a, b in zip(table.originals, names)) if op.rename else 0
     options = {k: v for k, v in (("delimiter", delimiter), ("column", column), ("direction", direction)) if v}
-    report = _report(table, steps, name, op, dedup, blank, options, out_delimiter, changed_headers)
-    return CleanResult(data, targets, report, out_delimiter, op.writes, mapping)
+
+    def make_report() -> DataFrame:
+        return _report(table, steps, name, op, dedup, blank, options, out_delimiter, changed_headers)
+
+    return CleanResult(data, targets, make_report, out_delimiter, op.writes, mapping)
 
 
 def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedup: bool, blank: Column,

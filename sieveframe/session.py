@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",  # above it the JVM does not compile a method
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites make long expressions slow to build
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.javaCharsets": "true",  # lets the CSV reader decode windows-1252
     "spark.sql.streaming.stateStore.providerClass":
