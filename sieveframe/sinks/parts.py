@@ -88,7 +88,8 @@ def write_parts(df: DataFrame, path: str, max_bytes: int = MAX_PART_BYTES, sep:
     """
     names = list(names or df.columns)
     parts = assign_parts(df, max_bytes, sep, names, group_rows_bits)
-    first = F.row_number().over(Window.partitionBy("part_group", "part").orderBy("row_id")) == 1
+    before = F.lag("part").over(Window.partitionBy("part_group").orderBy("row_id"))
+    first = F.coalesce(before != F.col("part"), F.lit(True))
     head = F.lit(header_line(names, sep) + LINE_END)
     (parts.select("part", "row_id", F.when(first, F.concat(head, F.col("line"))).otherwise(F.col("line")).alias("value"))
      .sortWithinPartitions("part", "row_id").select("part", "value")

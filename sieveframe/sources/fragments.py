@@ -37,10 +37,9 @@ def stack_fragments(fragments: DataFrame) -> StackedFragments:
     still runs over many tasks.
     """
     found = fragments.filter(F.col("table_no").isNotNull())
-    pieces = (found.groupBy(*FRAGMENT)
-              .agg(F.count("*").alias("size"), F.max(F.when(F.col("row_no") == 0, F.col("cells"))).alias("top"))
-              .filter("size >= 2")
-              .select(*FRAGMENT, header_cells(F.col("top")).alias("header")))
+    sizes = found.groupBy(*FRAGMENT).agg(F.count("*").alias("size")).filter("size >= 2").select(*FRAGMENT)
+    tops = found.filter("row_no = 0").select(*FRAGMENT, header_cells(F.col("cells")).alias("header"))
+    pieces = tops.join(sizes, FRAGMENT, "left_semi")  # one row per fragment on either side
     tables = pieces.groupBy("doc").agg(
         F.count("*").alias("fragments"), F.min("header").alias("header"),
         (F.min("header") == F.max("header")).alias("one_header"))

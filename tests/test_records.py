@@ -113,3 +113,13 @@ def test_stream_tidy_and_its_limits(spark, stream):
     for operation in ("dedup", "profile"):
         with pytest.raises(ValueError):
             stream_clean(source(), operation)
+
+
+def test_a_pair_that_is_a_third_of_all_rows(spark):
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("int")
+    expected = spark.range(3000).select(hot.alias("job"), F.lit("p").alias("name"))
+    sent = spark.range(1, 2000).select(F.col("id").cast("int").alias("job"), F.lit("p").alias("name"))
+    wanted = {0} | {i for i in range(2000, 3000) if i % 3}
+    assert {r["job"] for r in R.delivery_gaps(expected, sent).collect()} == wanted
+    last = R.latest_by_key(spark.range(3000).select(hot.alias("k"), "id"), "k", "id")
+    assert {r["k"]: r["id"] for r in last.collect()}[0] == 2997
