@@ -161,56 +161,30 @@ def number_text(number: Column, missing: str = "não disponível") -> Column:
             .otherwise(F.translate(grouped, ",.", ".,")))
 
 
-def _one_digit_less(text: Column, number: Column) -> Column:
-    """``text`` rounded by a digit if it still reads back as ``number``; some runtimes print one too many."""
-    mantissa = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1)
-    digits = F.translate(mantissa, ".", "")
-    size = F.length(digits) - 1
-    number_text = F.floor((digits.try_cast("decimal(20,0)") + 5) / 10).cast("string")
-    rounded = F.lpad(number_text, F.greatest(size, F.length(number_text)), "0")
-    carry = F.length(rounded) - size  # 9.99… became 10.0
-    whole = F.length(F.substring_index(mantissa, ".", 1)) + carry
-    fraction = F.rtrim(F.substr(rounded, whole + 1), F.lit("0"))
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    plain = F.concat(sign, F.substr(rounded, F.lit(1), whole), F.lit("."),
-                     F.when(fraction == "", "0").otherwise(fraction), F.regexp_extract(text, "(E.*)?$", 0))
-    next_power = F.concat(sign, F.lit("1.0E"), (F.substring_index(text, "E", -1).try_cast("int") + 1).cast("string"))
-    shorter = F.when((carry > 0) & text.contains("E"), next_power).otherwise(plain)
-    return F.when((F.length(F.ltrim(digits, F.lit("0"))) >= 16) & (shorter.try_cast("double") == number),
-                  shorter).otherwise(text)
-
-
-def _plain_notation(text: Column) -> Column:
-    """Plain from 1e-4 up to 1e16, else with an exponent of at least two digits."""
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    digits = F.rtrim(F.translate(F.substring_index(text, "E", 1), "-.", ""), F.lit("0"))
-    tail = F.substr(digits, exponent + 2)
-    large = F.concat(sign, F.rpad(digits, exponent + 1, "0"), F.lit("."),
-                     F.when(tail == "", "0").otherwise(tail))
-    small = F.concat(sign, F.lit("0.000"), digits)
-    rest = F.substr(digits, F.lit(2))
-    size = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        sign, F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
-        F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), "0"))
-    return (F.when(text.endswith("Infinity"), F.concat(sign, F.lit("inf")))
-            .when(~text.contains("E"), text)
-            .when(exponent.between(0, 15), large)
-            .when(exponent == -4, small)
-            .otherwise(scientific))
+def _shortest_scientific(number: Column) -> Column:
+    """The fewest of 15, 16 or 17 significant digits that read back as ``number``, as ``d.ddde+XX``."""
+    candidates = [F.format_string(f"%.{digits - 1}e", number) for digits in (15, 16)]
+    return F.coalesce(*[F.when(c.try_cast("double") == number, c) for c in candidates],
+                      F.format_string("%.16e", number))
 
 
 def _float_text(number: Column, printed: Column | None = None) -> Column:
-    """Shortest text of a double. Only exponents, infinities and long values take the slow branch."""
-    def rare(text: Column) -> Column:
-        return _bound(text, lambda t1: _bound(_one_digit_less(t1, number), lambda t2: _bound(
-            _one_digit_less(t2, number), lambda t3: _plain_notation(t3))))
+    """Shortest text of a double: plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
+
+    The runtime's own text (``printed``) serves for most values; only exponents, infinities and long
+    texts, which may carry a surplus digit, take the slow branch.
+    """
+    def rare(scientific: Column) -> Column:
+        plain = F.regexp_replace(scientific.try_cast("decimal(38,21)").cast("string"), r"(\.[0-9]+?)0*$", "$1")
+        size = F.abs(number)
+        return (F.when((size >= 1e-4) & (size < 1e16), plain)
+                .otherwise(F.regexp_replace(scientific, r"\.?0+e", "e")))
 
     if printed is None:
-        return _bound(number, lambda x: _bound(x.cast("string"), lambda text: _float_text(x, text)))
+        return _bound(number, lambda x: _float_text(x, x.cast("string")))
     return (F.when(number.isNull() | F.isnan(number), "")
-            .when((F.length(printed) > 16) | printed.contains("E") | printed.contains("I"), rare(printed))
+            .when(printed.endswith("Infinity"), F.when(number < 0, "-inf").otherwise("inf"))
+            .when((F.length(printed) > 16) | printed.contains("E"), _bound(_shortest_scientific(number), rare))
             .otherwise(printed))
 
 
