@@ -232,7 +232,8 @@ def file_probe(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_folder(spark, "probe")
     documents = load(spark, folder, "documents").select("doc_id", "source", "text", "lang")
     for lang, encoding, sep in (("fr", "ISO-8859-1", ";"), ("de", "UTF-16", "|")):
-        documents.filter(F.col("lang") == lang).write.option("encoding", encoding).csv(
+        # An accent in the header, so that no file is plain ASCII by chance.
+        documents.filter(F.col("lang") == lang).withColumnRenamed("text", "texté").write.option("encoding", encoding).csv(
             f"{root}/lang={lang}", sep=sep, header=True, escape='"')
     rest = documents.filter(~F.col("lang").isin(*_CHARSETS))
     rest.write.partitionBy("lang").csv(f"{root}/rest", header=True, escape='"')

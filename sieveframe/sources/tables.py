@@ -97,7 +97,7 @@ def _text_schema(names: Sequence[str], raw: bool = True) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             multiline: bool | None = None, strict: bool = False) -> SourceTable:
+             multiline: bool | None = None, strict: bool = False, ordered: bool = False) -> SourceTable:
     """Delimited text with a header row.
 
     What is left open (delimiter, encoding, whether cells hold line breaks) is found by one scan of
@@ -137,6 +137,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     width_name = reserve(WIDTH, wide)
     slots = [f"c{i}" for i in range(len(wide))]
     records = _csv(spark, path, _text_schema(slots), True, options)
+    if ordered:
+        records = in_file_order(records, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     data = records.select(
         *[F.coalesce(slot, F.lit("")).alias(name) for slot, name in zip(slots, wide)],
         F.coalesce(record_width(F.col(RAW), sep), F.lit(len(wide))).alias(width_name))
@@ -159,17 +161,32 @@ def _blank_lines(spark: SparkSession, path: str, sep: str, names: Sequence[str],
         *names, width_name)
 
 
-def read_parquet(spark: SparkSession, path: str) -> SourceTable:
-    return replace(as_table(spark.read.parquet(path)), kind="parquet", path=path)
+def in_file_order(df: DataFrame, *position: Column) -> DataFrame:
+    """``df`` sorted by file path and ``position`` in the file: a range sort over distinct keys."""
+    place = [F.col("_metadata.file_path"), *position]
+    keys = [reserve(f"_at_{i}", df.columns) for i in range(len(place))]
+    return df.select("*", *[p.alias(k) for p, k in zip(place, keys)]).orderBy(*keys).drop(*keys)
+
+
+def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> SourceTable:
+    df = spark.read.parquet(path)
+    if ordered:
+        df = in_file_order(df, F.col("_metadata.row_index"))
+    return replace(as_table(df), kind="parquet", path=path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
-               encoding: str | None = None, multiline: bool | None = None, strict: bool = False) -> SourceTable:
-    """CSV, TSV or Parquet, told apart by suffix unless ``fmt`` names the format."""
+               encoding: str | None = None, multiline: bool | None = None, strict: bool = False,
+               ordered: bool = False) -> SourceTable:
+    """CSV, TSV or Parquet, told apart by suffix unless ``fmt`` names the format.
+
+    ``ordered`` sorts the rows of several files by path and place, for outputs that must keep that
+    order; within one file it is kept anyway.
+    """
     if fmt is None:
         fmt = next((f for suffix, f in SUFFIX_FORMATS.items() if path.lower().endswith(suffix)), None)
     if fmt == "parquet":
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, ordered)
     if fmt in ("csv", "tsv"):
-        return read_csv(spark, path, "\t" if fmt == "tsv" else sep, encoding, multiline, strict)
+        return read_csv(spark, path, "\t" if fmt == "tsv" else sep, encoding, multiline, strict, ordered)
     raise ValueError("the format must be csv, tsv or parquet")
