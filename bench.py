@@ -55,8 +55,8 @@ def main() -> None:
             figures[name] = round(time.perf_counter() - started, 3)
     total = round(sum(seconds[name] for name in HEADLINE), 3)
     rows = lineitem.count()
-    print(json.dumps({"metric": "clean_and_profile_lineitem", "value": total, "unit": "sec", "queries": seconds, "first_run": first,
-                      "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1], "rows": rows,
+    print(json.dumps({"metric": "clean_and_profile_lineitem", "value": total, "unit": "sec", "queries": seconds,
+                      "first_run": first, "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1], "rows": rows,
                       "rows_per_sec": round(rows / total)}))
 
 

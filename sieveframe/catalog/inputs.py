@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveframe.catalog import sqltext as Q
 from sieveframe.catalog.base import DIRTY_COLUMNS, D, dirty_orders, load, query
 from sieveframe.catalog.cleaning import GUARDED, WITH_D
 from sieveframe.functions import cells as C

@@ -65,20 +65,20 @@ def in_status(df: DataFrame, status: str, wanted: Sequence[str]) -> DataFrame:
     return df.filter(column(status).isin(*wanted))
 
 
-def expired(records: DataFrame, created: str, now: Column, days: int = RETENTION_DAYS) -> Column:
+def expired(created: str, now: Column, days: int = RETENTION_DAYS) -> Column:
     """True for records older than the retention period."""
     return column(created) < now - F.make_dt_interval(F.lit(days))
 
 
 def retain(records: DataFrame, created: str, finished: Column, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
     """Records without the old finished ones; what is still active stays however old it is."""
-    return records.filter(~(expired(records, created, now, days) & F.coalesce(finished, F.lit(False))))
+    return records.filter(~(expired(created, now, days) & F.coalesce(finished, F.lit(False))))
 
 
 def retain_children(children: DataFrame, records: DataFrame, key: str, created: str, finished: Column,
                     now: Column, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows such as deliveries without those of the records that ``retain`` drops."""
-    dropped = records.filter(expired(records, created, now, days) & F.coalesce(finished, F.lit(False)))
+    dropped = records.filter(expired(created, now, days) & F.coalesce(finished, F.lit(False)))
     return spread_join(children, dropped.select(column(key)).distinct(), [key], "left_anti")
 
 

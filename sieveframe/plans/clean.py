@@ -86,13 +86,11 @@ def header_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(pairs, "position int, source string, target string")
 
 
-def _check(table: SourceTable, op: Operation, name: str, delimiter: str | None, column: str | None,
+def _check(table: SourceTable, op: Operation, delimiter: str | None, column: str | None,
            direction: str | None) -> str:
     chosen = op.delimiter or delimiter or table.delimiter or ","
     if chosen not in DELIMITERS:
         raise ValueError(f"the delimiter must be one of {DELIMITERS}")
-    if name == "delimiter" and delimiter is None:
-        raise ValueError("name the delimiter to write")
     if op.convert:
         if column not in table.names[:table.header_width]:
             raise ValueError(f"column not found; use one of {table.names[:table.header_width]}")
@@ -138,7 +136,7 @@ def clean(source: SourceTable | DataFrame, operation: str = "tidy", *, deduplica
     op = OPERATIONS[name]
     table = as_table(source)
     direction = DIRECTION_NAMES.get(direction, direction)
-    out_delimiter = _check(table, op, name, delimiter, column, direction)
+    out_delimiter = _check(table, op, delimiter, column, direction)
     dedup = deduplicate or op.dedup
     names = table.names
     targets = names if op.rename else [*table.originals, *table.extra_names]

@@ -80,8 +80,9 @@ def irregular(df: DataFrame, fields: str, header_width: int) -> DataFrame:
 
 
 def record_width(record: Column, delimiter: str) -> Column:
-    """Fields in one raw CSV record, quoted segments set aside."""
-    bare = F.regexp_replace(F.replace(record, F.lit('""'), F.lit("")), '"[^"]*"', "")
+    """Fields in one raw CSV record. A quote opens a quoted field only where a field begins."""
+    single = F.replace(record, F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(single, f'(^|[{delimiter}])"[^"]*"', "$1")
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
