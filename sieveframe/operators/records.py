@@ -26,7 +26,10 @@ def _by_extreme(df: DataFrame, keys: Sequence[str], extreme, order: str) -> Data
 
 
 def latest_by_key(df: DataFrame, key: str | Sequence[str], order: str, where: Column | None = None) -> DataFrame:
-    """The record with the highest ``order`` of each key, among those that satisfy ``where``."""
+    """The record with the highest ``order`` of each key, among those that satisfy ``where``.
+
+    ``order`` is unique within a key, as message and job numbers are.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     return _by_extreme(df if where is None else df.filter(where), keys, F.max_by, order)
 

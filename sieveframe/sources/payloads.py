@@ -18,12 +18,12 @@ def json_keys(rows: DataFrame, order: Sequence[str]) -> list[str]:
 
     Only names reach the driver, at most one more than the limit on columns.
     """
-    pairs = rows.select(
-        F.explode(F.transform(F.map_keys("record"), lambda key, at: F.struct(
-            key.alias("key"), F.struct(*[column(c) for c in order], F.col("item"), at.alias("at")).alias("place")))
-        ).alias("seen"))
-    found = (pairs.groupBy("seen.key").agg(F.min("seen.place").alias("place"))
-             .orderBy("place").limit(MAX_COLUMNS + 1).collect())
+    # Objects of the same shape are folded first; only the distinct shapes are taken apart.
+    place = F.struct(*[column(c) for c in order], F.col("item"))
+    shapes = rows.groupBy(F.map_keys("record").alias("keys")).agg(F.min(place).alias("place"))
+    seen = shapes.select("place", F.posexplode("keys").alias("at", "key"))
+    found = (seen.groupBy("key").agg(F.min(F.struct("place", "at")).alias("first"))
+             .orderBy("first").limit(MAX_COLUMNS + 1).collect())
     return check_width([row["key"] for row in found])
 
 
