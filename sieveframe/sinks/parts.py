@@ -16,7 +16,7 @@ MAX_PART_BYTES = 40 * 1024**2
 LINE_END = "\r\n"
 BYTE_ORDER_MARK = "\ufeff"
 
-GROUP_ROWS_BITS = 22  # rows are packed into parts within runs of 2^22 consecutive rows
+GROUP_ROWS_BITS = 20  # rows are packed into parts within runs of 2^20 consecutive rows
 
 
 def csv_field(cell: Column, delimiter: str) -> Column:
