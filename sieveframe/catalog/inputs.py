@@ -157,10 +157,8 @@ def sheet_report(spark: SparkSession, folder: str) -> DataFrame:
 # of nation 3 change their header half-way; customers of nation 5 have a page without tables.
 _FRAGMENTS_SQL = """
     o as (select c_nationkey as doc, o_custkey as page, cast(o_orderstatus = 'O' as integer) as table_no, o_orderkey,
-                 o_orderpriority, row_number() over (partition by o_custkey, o_orderstatus = 'O' order by o_orderkey) as row_no
-          from orders join customer on o_custkey = c_custkey),
-    f as (select doc, page, table_no, cast(row_no as integer) as row_no,
-                 [o_orderkey::varchar, o_orderpriority] as cells from o
+                 o_orderpriority from orders join customer on o_custkey = c_custkey),
+    f as (select doc, page, table_no, o_orderkey + 1 as row_no, [o_orderkey::varchar, o_orderpriority] as cells from o
           union all select distinct doc, page, table_no, 0,
                  case when doc = 3 and page % 2 = 0 then ['Order', 'Level'] else [' Order', 'Prio' || chr(10) || 'rity'] end from o
           union all select c_nationkey, -c_custkey, null, null, null from customer where c_nationkey = 5

@@ -39,15 +39,19 @@ def float_texts(spark: SparkSession, folder: str) -> DataFrame:
     return C.stringify(lines.select(*[(price * F.lit(scale)).alias(f"x{i}") for i, scale in enumerate(_SCALES)]))
 
 
-@query("select o_custkey, '[' || string_agg('{\"key\": ' || o_orderkey || ', \"status\": \"' || o_orderstatus || '\", \"day\": \"' "
-       "|| strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '\"}', ', ' order by o_orderkey) || ']' as orders "
-       "from orders group by o_custkey")
+@query("select o_orderkey, '[{\"key\": ' || o_orderkey || ', \"status\": \"' || o_orderstatus || '\", \"day\": \"' "
+       "|| strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '\"}, null]' as nested from orders")
 def nested_text(spark: SparkSession, folder: str) -> DataFrame:
-    orders = load(spark, folder, "orders")
     item = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
                     F.col("o_orderdate").alias("day"))
-    listed = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("orders"))
-    return listed.select("o_custkey", C.to_text(F.col("orders"), listed.schema["orders"].dataType).alias("orders"))
+    nested = load(spark, folder, "orders").select("o_orderkey", F.array(item, F.lit(None)).alias("nested"))
+    return nested.select("o_orderkey", C.to_text(F.col("nested"), nested.schema["nested"].dataType).alias("nested"))
+
+
+@query("select cast(vec_id as varchar) as vec_id, '[' || array_to_string(list_transform(embedding, "
+       "lambda x: cast(cast(x as double) as varchar)), ', ') || ']' as embedding, cast(label as varchar) as label from embeddings")
+def stringify_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return C.stringify(load(spark, folder, "embeddings"))
 
 
 @query("select o_orderkey, case when o_totalprice is null then 'não disponível' else "
