@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveframe.llm import minhash
+from sieveframe.llm import minhash, packing, toxicity
 from sieveframe.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,19 @@ from s join r on s.doc_id = r.doc_id group by s.doc_id"""
 @query(OP1_SQL)
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, folder, "documents"))
+
+
+def vocabulary(name: str = "byte_bpe_50k") -> packing.Vocabulary:
+    import public_tokenizers as public
+
+    return packing.Vocabulary(public.path(f"{name}.json"), public.path(f"{name}.tiktoken"), public.PATTERN)
+
+
+@query()
+def op8_pack_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(load(spark, folder, "documents"), vocabulary(), with_ids=False)
+
+
+@query()
+def op9_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, folder, "documents"), load(spark, folder, "labels"))
