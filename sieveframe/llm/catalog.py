@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveframe.llm import minhash, packing, toxicity
+from sieveframe.llm import cascade, langid, minhash, mixture, packing, pseudonyms, toxicity
 from sieveframe.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,76 @@ def op8_pack_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+OP4_SQL = f"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
+    md5('mix:' || coalesce(cast(doc_id as varchar), '')) as key from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size,
+    [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from d group by source),
+f as (
+  select *, 1.5 * sum(source_size) over () - coalesce(sum(2.0 * source_size) over (
+      order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as rest,
+    sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as free
+  from s),
+c as (select *, weight * rest > 2.0 * source_size * free as clamped from f),
+t as (
+  select source, source_size, case when clamped then 2.0 * source_size else weight * cast(
+      1.5 * (select sum(source_size) from s) - coalesce((select sum(2.0 * source_size) from c where clamped), 0) as double)
+    / cast((select sum(weight) from c where not clamped) as double) end as target from c),
+p as (
+  select d.*, t.source_size, cast(t.target as double) as target,
+    floor(t.target / greatest(t.source_size, 1)) as whole,
+    sum(size) over (partition by d.source order by key, size rows unbounded preceding) - size as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, cast(whole * size
+  + least(greatest(round(target - whole * source_size) - before, 0), size) as bigint) as taken from p"""
+
+
+@query(OP4_SQL)
+def op4_mix_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    return mixture.mixture(docs, mixture.cycled_weights(docs, (3, 1, 2)), 1.5).drop("source")
+
+
+@query()
+def op5_language_id_ecoc(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(load(spark, folder, "documents"))
+
+
+@query()
+def op7_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymised(load(spark, folder, "documents"), "a key that only its holder knows")
+
+
+OP10_SQL = f"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+k as (select doc_id, text, w, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as g,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines from w),
+u as (select rowid_ as r, unnest(g) as g, unnest(range(1, len(g) + 1)) as i from (select row_number() over () as rowid_, g from k)),
+x as (select count(*) over (partition by r, g) as n, r, i from u),
+c as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from x where n > 1) group by r),
+m as (
+  select doc_id, text, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words,
+    cast(len(string_split(text, chr(10))) as bigint) as n_lines
+  from (select row_number() over () as r, * from k) k left join c on c.r = k.r),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed
+  or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * n_lines
+  or word_chars < 3 * n_words or word_chars > 12 * n_words
+  or 100 * len(regexp_extract_all(text, '[\\p{{L}}]+')) < 80 * n_words
+  or 100 * len(regexp_extract_all(text, '\\p{{Lu}}')) > 40 * word_chars
+  or 100 * len(regexp_extract_all(text, '!')) > 30 * n_words
+  or 100 * len(regexp_extract_all(text, '(?m)^[\\x20\\x09]*[•*+-][\\x20\\x09]')) > 90 * n_lines
+  or 100 * len(regexp_extract_all(text, '(?m)(?:\\.\\.\\.|…)$')) > 30 * n_lines) as kept
+from b"""
+
+
+@query(OP10_SQL)
+def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return cascade.quality(load(spark, folder, "documents"))
