@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveframe.llm import cascade, langid, minhash, mixture, packing, pseudonyms, toxicity
+from sieveframe.llm import cascade, langid, lattice, minhash, mixture, packing, pseudonyms, toxicity
 from sieveframe.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,8 @@ from b"""
 @query(OP10_SQL)
 def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.quality(load(spark, folder, "documents"))
+
+
+@query()
+def op2_lattice_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.lattice_scores(load(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k").ranks)
