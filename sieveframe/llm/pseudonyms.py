@@ -29,7 +29,7 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 # A match starts and ends where a value can: not inside a longer run of the same characters.
 SHAPES = re.compile(r"""
   (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))
-| (?P<secret>\b(?:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,512}["']
+| (?P<secret>\b(?i:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,512}["']
             |(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))
 | (?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
 | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))
@@ -76,6 +76,7 @@ def walk(index: int, size: int, valid: Callable[[int], bool], key: bytes, tweak:
 
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEX = (("0123456789abcdef",), ("0123456789ABCDEF",))
 
 
 def permute_text(text: str, key: bytes, tweak: bytes, inverse: bool, classes: tuple[str, ...] = CLASSES) -> str:
@@ -134,21 +135,25 @@ class Pseudonyms:
             return text[:4] + permute_text(text[4:], self.key, b"aws", self.inverse, (CLASSES[0] + CLASSES[2],))
         start = text.index(text[-1])
         value = text[start + 1:-1]
-        classes = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]+", value) else CLASSES
+        classes = next((c for c in HEX if set(value) <= set(c[0])), CLASSES)
         return text[:start + 1] + permute_text(value, self.key, b"secret", self.inverse, classes) + text[-1]
 
     def ipv4(self, text: str) -> str | None:
         try:
-            index = int(ipaddress.IPv4Address(text))
+            address = ipaddress.IPv4Address(text)
         except ValueError:
             return None
 
-        def public(x: int) -> bool:
-            return ipaddress.IPv4Address(x).is_global
+        def special(x: int) -> bool:  # the same for every host
+            return ipaddress.IPv4Address(x).is_loopback or x in (0, (1 << 32) - 1)
 
-        if not public(index):  # addresses of private and reserved ranges name nobody
+        def alike(x: int) -> bool:  # public addresses stay public, others others
+            return not special(x) and ipaddress.IPv4Address(x).is_global == address.is_global
+
+        if special(int(address)):
             return None
-        return str(ipaddress.IPv4Address(walk(index, 1 << 32, public, self.key, b"ipv4", self.inverse)))
+        tweak = b"ipv4 public" if address.is_global else b"ipv4 other"
+        return str(ipaddress.IPv4Address(walk(int(address), 1 << 32, alike, self.key, tweak, self.inverse)))
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
