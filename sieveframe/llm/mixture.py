@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveframe.llm.minhash import row_key
 from sieveframe.llm.tables import stored
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -61,8 +62,12 @@ def mixture(docs: DataFrame, weights: DataFrame, epochs: float, seed: str = "mix
     one. Rows of one id and size are ordered arbitrarily, so that only which of two equal rows carries
     the cut is open. The same seed gives the same mix, on any layout. Other columns are ignored.
     """
+    return _mixed(docs, weights, epochs, seed, max_epochs).drop("row_key")
+
+
+def _mixed(docs: DataFrame, weights: DataFrame, epochs: float, seed: str, max_epochs: float) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = stored(docs.select("doc_id", "source", source_key(), size_of().alias("size"), key.alias("key"))
+    sized = stored(docs.select("doc_id", "source", source_key(), row_key().alias("row_key"), size_of().alias("size"), key.alias("key"))
                    .withColumn("bucket", F.substring("key", 1, PREFIX)), "sizes")
     parts = stored(sized.groupBy("src", "bucket").agg(F.sum("size").alias("part")), "mix-parts")
     totals = parts.groupBy("src").agg(F.sum("part").alias("source_size"))
@@ -77,10 +82,27 @@ def mixture(docs: DataFrame, weights: DataFrame, epochs: float, seed: str = "mix
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
     extra = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     fraction = F.least(F.greatest(extra - F.col("before") - F.col("within"), F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target",
+    return rows.select("doc_id", "row_key", "source", "size", "source_size", "target",
                        (whole * F.col("size") + fraction).cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: DataFrame, epochs: float, seed: str = "mix", max_epochs: float = MAX_EPOCHS
+               ) -> DataFrame:
+    """``docs`` with all its columns, each row as often as the mix takes it.
+
+    A document that is taken in part counts as whole from one half on; one without words is not taken.
+    """
+    times = F.coalesce(F.round(F.col("taken") / F.nullif("size", F.lit(0))), F.lit(0)).cast("long")
+    taken = stored(_mixed(docs, weights, epochs, seed, max_epochs).groupBy(F.col("row_key").alias("_row"))
+                   .agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_n")).where("_times > 0"), "taken")
+    joined = docs.withColumn("_row", row_key()).join(taken, "_row")
+    rows = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.floor(F.col("_times") / F.col("_n")).cast("int"))))
+    if not taken.where("_times % _n > 0").isEmpty():  # rows equal in id and text share what does not divide
+        once = joined.where("_times % _n > 0").dropDuplicates(["_row"])
+        rows = rows.unionByName(once.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), (F.col("_times") % F.col("_n")).cast("int")))))
+    return rows.select(*docs.columns)
+
+
 def cycled_weights(docs: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     """Weights given in turn to the sources by code point, null last.
 
