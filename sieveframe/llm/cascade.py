@@ -89,11 +89,12 @@ def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and the metrics of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     listed = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text")))
-    return with_repeated_words(listed).select(
-        "doc_id", "text", F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+    metrics = F.struct(
+        F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("text")).alias("n_dup_lines"), "n_repeat_words")
+        duplicate_lines(F.col("text")).alias("n_dup_lines"), F.col("n_repeat_words"))
+    # As a generator's output the metrics are found once: a filter on them is not pushed down into their steps.
+    return with_repeated_words(listed).select("doc_id", "text", F.inline(F.array(metrics)))
 
 
 def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS
