@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveframe.llm import minhash, mixture, packing, pseudonyms, toxicity
 from sieveframe.llm.catalog import PSEUDONYM_KEY, vocabulary
-from sieveframe.llm.tables import load, stored
+from sieveframe.llm.tables import fresh, load, stored
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = 1.5
@@ -20,8 +20,9 @@ EPOCHS = 1.5
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under the threshold."""
+    (name,) = fresh(docs, "toxic")
     score = toxicity.toxic_scores(docs, load(spark, sf_dir, "labels"))
-    return docs.withColumn("_toxic", score).where(F.col("_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.withColumn(name, score).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

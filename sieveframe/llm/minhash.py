@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveframe.llm.graph import components
-from sieveframe.llm.tables import stored
+from sieveframe.llm.tables import fresh, stored
 from sieveframe.llm.words import as_long, mix, slices, split
 
 SHINGLE = 5
@@ -251,11 +251,12 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     named = stored(_grouped(docs), "components")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     first = named.where("root is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.row_key")
+    row, repeated = fresh(docs, "row", "repeated")
     stays = stored(named.join(first.union(named.where("root is null").select("row_key")).distinct(), "row_key", "left_semi")
-                   .groupBy("row_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root").isNotNull()).alias("grouped"))
-                   .select(F.col("row_key").alias("_row"), (F.col("grouped") & (F.col("n") > 1)).alias("_repeated")), "stays")
-    kept = docs.withColumn("_row", row_key()).join(stays, "_row")
-    whole = kept.where("not _repeated")
-    if not stays.where("_repeated").isEmpty():  # rows that are equal in id and text
-        whole = whole.unionByName(kept.where("_repeated").dropDuplicates(["_row"]))
+                   .groupBy(F.col("row_key").alias(row)).agg(
+                       (F.max(F.col("root").isNotNull()) & (F.count(F.lit(1)) > 1)).alias(repeated)), "stays")
+    kept = docs.withColumn(row, row_key()).join(stays, row)
+    whole = kept.where(~F.col(repeated))
+    if not stays.where(repeated).isEmpty():  # rows that are equal in id and text
+        whole = whole.unionByName(kept.where(repeated).dropDuplicates([row]))
     return whole.select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveframe.llm.minhash import row_key
-from sieveframe.llm.tables import stored
+from sieveframe.llm.tables import fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]++"
 PREFIX = 4
@@ -92,14 +92,19 @@ def mixed_rows(docs: DataFrame, weights: DataFrame, epochs: float, seed: str = "
 
     A document that is taken in part counts as whole from one half on; one without words is not taken.
     """
-    times = F.coalesce(F.round(F.col("taken") / F.nullif("size", F.lit(0))), F.lit(0)).cast("long")
-    taken = stored(_mixed(docs, weights, epochs, seed, max_epochs).groupBy(F.col("row_key").alias("_row"))
-                   .agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_n")).where("_times > 0"), "taken")
-    joined = docs.withColumn("_row", row_key()).join(taken, "_row")
-    rows = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.floor(F.col("_times") / F.col("_n")).cast("int"))))
-    if not taken.where("_times % _n > 0").isEmpty():  # rows equal in id and text share what does not divide
-        once = joined.where("_times % _n > 0").dropDuplicates(["_row"])
-        rows = rows.unionByName(once.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), (F.col("_times") % F.col("_n")).cast("int")))))
+    row, times, n, copy = fresh(docs, "row", "times", "n", "copy")
+    whole = F.coalesce(F.round(F.col("taken") / F.nullif("size", F.lit(0))), F.lit(0)).cast("long")
+    taken = stored(_mixed(docs, weights, epochs, seed, max_epochs).groupBy(F.col("row_key").alias(row))
+                   .agg(F.sum(whole).alias(times), F.count(F.lit(1)).alias(n)).where(F.col(times) > 0), "taken")
+    joined = docs.withColumn(row, row_key()).join(taken, row)
+
+    def repeated(rows: DataFrame, often: Column) -> DataFrame:
+        return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), often.cast("int"))))
+
+    rest = F.col(times) % F.col(n)
+    rows = repeated(joined, F.floor(F.col(times) / F.col(n)))
+    if not taken.where(rest > 0).isEmpty():  # rows equal in id and text share what does not divide
+        rows = rows.unionByName(repeated(joined.where(rest > 0).dropDuplicates([row]), rest))
     return rows.select(*docs.columns)
 
 

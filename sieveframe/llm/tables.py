@@ -25,3 +25,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 def fold_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null where the key is null."""
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % modulus
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + name in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
