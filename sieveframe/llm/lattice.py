@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveframe.llm.tables import fold_remainder, stored
-from sieveframe.llm.words import as_long, mix, slices, split
+from sieveframe.llm.words import as_long, gathered, mix, slices, split
 
 TOP = 1 << 17
 CLASSES = 8
@@ -40,6 +40,7 @@ ROUNDS = 4
 PRIOR = 1.0  # pseudo-count of all pieces together, dealt by their order in the vocabulary
 SCALE = 1e6  # expected counts are summed as whole millionths, so that their order does not matter
 FILTER_BITS = 22
+WORDS = 50_000  # words whose lattices are swept together
 
 SCORED = ("doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base double, paths array<double>, "
           "tail array<struct<word: long, times: int, spelled: double>>")
@@ -129,7 +130,7 @@ def _swept(first: np.ndarray, n: int, source: np.ndarray, target: np.ndarray, sc
     """Log sums of all paths from ``begin`` to every position; ``place`` orders the targets."""
     value = np.full(n, -np.inf)
     value[begin] = 0
-    order = np.lexsort((target, place))
+    order = np.argsort(place * (n + 1) + target, kind="stable")
     source, target, score, place = source[order], target[order], score[order], place[order]
     cuts = np.flatnonzero(np.diff(place, prepend=-1))
     for low, high in zip(cuts, np.append(cuts[1:], len(place))):
@@ -173,7 +174,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expected(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(len(pieces.hashes))
-    for batch in batches:
+    for batch in gathered(batches, WORDS):
         total, state = forward(batch.column("word"), pieces)
         sums += expected(total, state, np.ones(batch.num_rows), len(sums))
     used = np.flatnonzero(sums)
@@ -202,6 +203,7 @@ class Model:
 
     pieces: Pieces
     top: np.ndarray  # hashes of the most frequent words, ascending
+    spelled: np.ndarray  # log10 of the probability of all their spellings
     counts: np.ndarray  # of those words by class
     words: np.ndarray  # of training texts, by class
     distinct: np.ndarray  # by class
@@ -228,20 +230,30 @@ class Model:
         return (self.texts + 1) / (self.texts + 1).sum()
 
 
+def spellings(words: pa.Array, pieces: Pieces) -> np.ndarray:
+    """Log10 of the probability of each word by its pieces."""
+    return (forward(words, pieces)[0] + pieces.per_word()) / np.log(10) if len(words) else np.zeros(0)
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    for batch in gathered(batches, WORDS):
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spellings(batch.column("word"), pieces))],
+                                         [*batch.schema.names[1:], "spelled"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    factor = model.pieces.per_word()
     for batch in batches:
         for part in slices(batch, "text"):
             words = split(part.column("text"))
             hashes = words.hashes()
-            spelled, by_class = np.zeros(0), np.zeros((len(hashes), CLASSES))
-            if len(hashes):
-                spelled = (forward(words.vocabulary, model.pieces)[0] + factor) / np.log(10)
-                if len(model.top):
-                    at = np.minimum(np.searchsorted(model.top, hashes), len(model.top) - 1)
-                    by_class = np.where((model.top[at] == hashes)[:, None], model.counts[at], 0)
+            spelled, by_class = np.zeros(len(hashes)), np.zeros((len(hashes), CLASSES))
+            if len(model.top):
+                at = np.minimum(np.searchsorted(model.top, hashes), len(model.top) - 1)
+                found = model.top[at] == hashes
+                by_class[found], spelled[found] = model.counts[at[found]], model.spelled[at[found]]
             n = by_class.sum(1)
             known = n > 0
+            spelled[~known] = spellings(words.vocabulary.filter(pa.array(~known)), model.pieces)
             common = np.maximum(n - model.discount, 0) / (model.words.sum() + 1) + model.freed * 10.0 ** np.maximum(spelled, -300)
             whole = np.maximum(by_class - model.discount, 0) / (model.words + 1) + model.freed_by_class * common[:, None]
             path = np.log10(np.where(known[:, None], whole, 1))
@@ -302,12 +314,14 @@ def lattice_scores(docs: DataFrame, ranks: str, modulus: int = 7, remainder: int
         F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice"),
         F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in numbers]).alias("words"),
         F.array(*[F.count(F.when(F.col(c) > 0, 1)) for c in numbers]).alias("distinct")).first()
-    frequent = vocabulary.orderBy(F.desc("n"), "hash").limit(top).select("hash", *numbers).toArrow()  # at most top rows
-    hashes = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    pieces = fitted(vocabulary, read_pieces(ranks), rounds)
+    frequent = vocabulary.orderBy(F.desc("n"), "hash").limit(top).select("word", "hash", *numbers).mapInArrow(
+        partial(_spelled, pieces=pieces), "hash long, " + ", ".join(f"{c} long" for c in numbers) + ", spelled double").toArrow()
+    hashes = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)  # at most ``top`` rows
     order = np.argsort(hashes)
     counts = np.stack([frequent.column(c).to_numpy()[order] for c in numbers], 1)
     discount = min(max(facts.once / max(facts.once + 2 * facts.twice, 1), 0.1), 0.9)
-    model = Model(fitted(vocabulary, read_pieces(ranks), rounds), hashes[order], counts, np.array(facts.words),
+    model = Model(pieces, hashes[order], frequent.column("spelled").to_numpy()[order], counts, np.array(facts.words),
                   np.array(facts.distinct), facts.v, texts, discount)
     scored = stored(rows.mapInArrow(partial(_score, model=model), SCORED), "scored")
     # A row without a word stands for its text, so that equal rows, which share a key, can be told apart.

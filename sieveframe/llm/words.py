@@ -68,3 +68,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows`` (the last may hold fewer), for work by whole arrays."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
