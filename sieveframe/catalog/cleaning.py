@@ -11,7 +11,7 @@ from sieveframe.catalog import sqltext as Q
 from sieveframe.catalog.base import DIRTY_COLUMNS, D, dirty_orders, dirty_sql, load, query
 from sieveframe.functions import cells as C
 from sieveframe.operators.profile import (
-    SUMMARY_COLUMNS, column_stats, invalid_dates as total_invalid_dates, missing_report as missing_of,
+    SUMMARY_COLUMNS, cell_facts, column_stats, fold_facts, invalid_dates as total_invalid_dates, missing_report as missing_of,
     mixed_type_columns as mixed_of, profile)
 from sieveframe.operators.rows import duplicate_count as count_duplicates
 from sieveframe.plans.clean import clean, reconcile as reconciled
@@ -125,8 +125,7 @@ def flat_profile(profiled: DataFrame) -> DataFrame:
     def kind(name: str):
         return F.coalesce(F.try_element_at("types", F.lit(name)), F.lit(0)).cast("bigint")
 
-    exact = F.col("numeric") - F.col("number_inexact")
-    mean = F.when(exact > 0, F.round(F.col("sum_num").cast("double") / exact, 6))
+    mean = F.when(F.col("numeric") > 0, F.round(F.col("sum_num").cast("double") / F.col("numeric"), 6))
     return profiled.select(
         "column", "position", "missing", "leading_zero", F.col("numeric").alias("numeric_cells"), "number_inexact",
         kind("iso_date").alias("iso_date"), "invalid_date", kind("text").alias("text_cells"), "negative",
@@ -155,6 +154,47 @@ def profile_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return flat_profile(profile(load(spark, folder, "lineitem")))
 
 
+def doubles(profiled: DataFrame, digits: int) -> DataFrame:
+    """The statistics as doubles, rounded for comparison with sums that are added in another order."""
+    return profiled.select("column", F.col("numeric").alias("numeric_cells"), "number_inexact", *[
+        F.round(c, digits).alias(c) for c in ("min_double", "max_double", "sum_double", "mean_double")])
+
+
+def doubles_sql(relation: str, columns: dict[str, str], digits: int, repeat: int = 1) -> str:
+    """Statistics of expressions over typed columns, without any text; all their texts are inexact or not by rule."""
+    return " union all ".join(
+        f"select '{name}' as \"column\", cast(count(v) * {repeat} as bigint) as numeric_cells, "
+        f"cast(count(*) filter (not regexp_full_match(cast(v as varchar), '[+-]?[0-9]{{1,18}}(\\.[0-9]{{0,10}})?')) * {repeat} as bigint) "
+        f"as number_inexact, round(min(cast(v as double)), {digits}) as min_double, round(max(cast(v as double)), {digits}) as max_double, "
+        f"round(sum(cast(v as double)) * {repeat}, {digits}) as sum_double, round(avg(cast(v as double)), {digits}) as mean_double "
+        f"from (select {expression} as v from {relation}) x" for name, expression in columns.items())
+
+
+@query(doubles_sql("lineitem", {"third": "l_extendedprice / 3", "product": "l_extendedprice * (1 - l_discount)"}, 2))
+def profile_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    lineitem = load(spark, folder, "lineitem")
+    return doubles(profile(lineitem.selectExpr("l_extendedprice / 3 as third", "l_extendedprice * (1 - l_discount) as product")), 2)
+
+
+@query(doubles_sql("(select unnest(embedding) as e from embeddings) y", {"element": "cast(e as double)"}, 3))
+def profile_floats(spark: SparkSession, folder: str) -> DataFrame:
+    return doubles(profile(load(spark, folder, "embeddings").select(F.explode("embedding").alias("element"))), 3)
+
+
+# Each row stands for 3 * 10^10 copies, so that the total is over 10^27, which the decimal cannot hold.
+_COPIES = 3 * 10**10
+
+
+@query(f"select 'id' as \"column\", count(*) * {_COPIES} as numeric_cells, min(id) as min_num, max(id) as max_num, "
+       f"cast(null as decimal(38,10)) as sum_num, round(sum(cast(id as double)) * {_COPIES} / 1e24) as sum_double "
+       "from (select cast(999999999999000000 + l_orderkey as decimal(38,10)) as id from lineitem) x")
+def profile_large_ids(spark: SparkSession, folder: str) -> DataFrame:
+    ids = load(spark, folder, "lineitem").selectExpr("cast(999999999999000000 + l_orderkey as string) as id")
+    facts = fold_facts(cell_facts(ids, ["id"], F.lit(_COPIES)), ["id"])
+    return facts.select("column", F.col("numeric").alias("numeric_cells"), "min_num", "max_num", "sum_num",
+                        F.round(F.col("sum_double") / 1e24).alias("sum_double"))
+
+
 @query(Q.profile_sql(f"t as ({LINEITEM_TEXT})", "t", LINEITEM))
 def tidy_lineitem_profile(spark: SparkSession, folder: str) -> DataFrame:
     return flat_profile(clean(load(spark, folder, "lineitem"), "tidy").profile)

@@ -106,24 +106,24 @@ PROFILE_FIELDS = """
     cast(count(*) filter (k = 'text') as bigint) as text_cells,
     cast(count(*) filter (k = 'number' and regexp_matches(v, '^-[0-9.]*[1-9]')) as bigint) as negative,
     cast(count(*) filter (k = 'text' and {comma}) as bigint) as comma_number,
-    min(case when k = 'number' then n end) as min_num,
-    max(case when k = 'number' then n end) as max_num,
-    sum(case when k = 'number' then n end) as sum_num,
-    round(cast(sum(case when k = 'number' then n end) as double)
-          / nullif(count(*) filter (k = 'number' and n is not null), 0), 6) as mean_num,
+    min(case when k = 'number' then a end) as min_num,
+    max(case when k = 'number' then a end) as max_num,
+    sum(case when k = 'number' then a end) as sum_num,
+    round(cast(sum(case when k = 'number' then a end) as double) / nullif(count(*) filter (k = 'number'), 0), 6) as mean_num,
     count(*) filter (k = 'number') > 0 and count(*) filter (k = 'text') > 0 as mixed_type
 """.replace("{comma}", comma_number("v"))
 
 
 def cells_cte(relation: str, columns: Sequence[str]) -> str:
-    """``cells(column_name, position, v, k, n)``: every cell of ``relation`` with its class."""
+    """``cells(column_name, position, v, k, n, a)``: every cell of ``relation`` with its class."""
     names = ", ".join(f"'{c}'" for c in columns)
     positions = ", ".join(str(i) for i in range(len(columns)))
     values = ", ".join(f'"{c}"' for c in columns)
     return (f"raw_cells as (select unnest([{names}]) as column_name, unnest([{positions}]) as position, "
             f"unnest([{values}]) as r from {relation}), "
             f"shown as (select column_name, position, case when {blank('r')} then '' else r end as v from raw_cells), "
-            f"cells as (select *, {cell_class('v')} as k, {exact('v')} as n from shown)")
+            f"cells as (select *, {cell_class('v')} as k, {exact('v')} as n, "
+            "try_cast(v as decimal(38,10)) as a from shown)")
 
 
 def profile_sql(ctes: str, relation: str, columns: Sequence[str]) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveframe.functions import cells as C
 from sieveframe.functions.names import unique_names
 from sieveframe.functions.text import COMMAND_OPERATIONS, DIRECTION_NAMES
-from sieveframe.operators.profile import MEASURES, cell_facts, fold_facts
+from sieveframe.operators.profile import DOUBLES, MEASURES, cell_facts, fold_facts
 from sieveframe.operators.rows import exact_dedup, row_is_blank
 from sieveframe.sources.files import DELIMITERS
 from sieveframe.sources.tables import SourceTable, as_table
@@ -182,7 +182,7 @@ def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedu
 
     totals = folded.agg(
         *[F.sum(s).alias(s) for s in sums], F.sum("invalid_date").alias("invalid_dates"),
-        F.array_sort(F.collect_list(F.struct("column", "position", *MEASURES)),
+        F.array_sort(F.collect_list(F.struct("column", "position", *MEASURES, *DOUBLES)),
                      lambda a, b: a["position"] - b["position"]).alias("profile"))
     guarded_total = F.col("cell_guarded") if guarded else F.lit(0).cast("bigint")
     removed = F.col("row_empty") if op.drop_empty else F.lit(0).cast("bigint")
