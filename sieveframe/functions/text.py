@@ -41,17 +41,40 @@ _BODY = r"([^>=]++|=\s*+(\"[^\"]*+\"|'[^']*+')?+)*+"
 
 
 @cache
-def _folding() -> tuple[str, str]:
-    """Characters that decompose to a single ASCII character, and those characters."""
-    pairs = [(ch, folded) for ch in map(chr, range(0x80, sys.maxunicode + 1))
-             if len(folded := "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii())) == 1]
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII character, those characters, and what the others give."""
+    several = {}
+    one = []
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
+        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii())
+        if len(folded) == 1:
+            one.append((ch, folded))
+        elif folded:
+            several[ch] = folded
+    return "".join(p[0] for p in one), "".join(p[1] for p in one), several
+
+
+def _near(codes: list[int], gap: int = 32) -> str:
+    """A character class of few ranges that holds all the codes."""
+    starts = [b for a, b in zip([-gap - 1, *codes], codes) if b - a > gap]
+    ends = [a for a, b in zip(codes, [*codes[1:], sys.maxunicode + gap + 1]) if b - a > gap]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+
+
+def _ascii(text: Column) -> Column:
+    """The ASCII characters of the compatibility decomposition."""
+    single, plain, several = _folding()
+    table = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
+    # Characters that give several are rare: only texts with one, or with a neighbour of one, are taken apart.
+    rare = _near(sorted(map(ord, several)))
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    folded = F.translate(F.when(text.rlike(rare), spread).otherwise(text), single, plain)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, r"[^\x00-\x7f]+", "")).otherwise(text)
 
 
 def slug_col(text: Column) -> Column:
     """Lower-case ASCII words joined by underscores, as ``names.slug`` does for one name."""
-    ascii_only = F.regexp_replace(F.translate(text, *_folding()), r"[^\x00-\x7f]+", "")
-    words = F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "_"), F.lit("_"))
+    words = F.trim(F.regexp_replace(F.lower(_ascii(text)), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(words == "", FALLBACK_NAME).otherwise(words)
 
 
@@ -89,9 +112,10 @@ def decode_entities(text: Column) -> Column:
 def html_text(source: Column) -> Column:
     """Visible text of a page: a space after each run, a newline after each block's end tag."""
     line_tags = "|".join(LINE_TAGS)
-    marked = F.regexp_replace(source, r"(?s)<!--.*?-->", _TAG)
+    # What is never closed runs to the end of the page.
+    marked = F.regexp_replace(source, r"(?s)<!--.*?(-->|\z)", _TAG)
     for hidden in ("script", "style"):
-        marked = F.regexp_replace(marked, rf"(?is)<{hidden}(\s[^>]*)?>.*?</{hidden}\s*>", _TAG)
+        marked = F.regexp_replace(marked, rf"(?is)<{hidden}(\s[^>]*)?>.*?(</{hidden}\s*>|\z)", _TAG)
     marked = F.regexp_replace(marked, rf"(?i)</({line_tags})(\s[^>]*)?>|<({line_tags})(\s[^>]*)?/>", _LINE)
     marked = F.regexp_replace(marked, rf"<[a-zA-Z/!?]{_BODY}>", _TAG)
     runs = F.regexp_replace(marked, f"([^{_TAG}{_LINE}<]+|<)", "$1 ")

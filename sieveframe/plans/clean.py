@@ -50,23 +50,28 @@ class CleanResult:
     """``data`` is a narrow plan (one shuffle if it removes copies); ``report`` is one aggregation.
 
     ``data`` carries unique names; ``output_names`` are those of the written header, which may repeat.
-    ``report`` is one row and holds the profile too, so that a single job yields both. It is planned
-    when first asked for.
+    ``report`` is one row and holds the profile too, so that a single job yields both; it shuffles whole
+    rows to count copies. ``profile`` alone does not, unless copies are removed. Both are planned when
+    first asked for.
     """
 
     def __init__(self, data: DataFrame, output_names: list[str], make_report: Callable[[], DataFrame],
-                 delimiter: str, writes: bool, header_map: list[tuple[int, str, str]]) -> None:
+                 delimiter: str, writes: bool, header_map: list[tuple[int, str, str]],
+                 make_profile: Callable[[], DataFrame] | None = None) -> None:
         self.data, self.output_names, self.delimiter = data, output_names, delimiter
         self.writes, self.header_map = writes, header_map
-        self._make_report = make_report
+        self._make_report, self._make_profile = make_report, make_profile
 
     @cached_property
     def report(self) -> DataFrame:
         return self._make_report()
 
-    @property
+    @cached_property
     def profile(self) -> DataFrame:
-        return self.report.select(F.inline("profile"))
+        """One row per column of the cleaned table, before formulas are guarded."""
+        if self._make_profile is None:
+            return self.report.select(F.inline("profile"))
+        return self._make_profile()
 
 
 def resolve(operation: str) -> str:
@@ -157,7 +162,11 @@ def clean(source: SourceTable | DataFrame, operation: str = "tidy", *, deduplica
     def make_report() -> DataFrame:
         return _report(table, steps, name, op, dedup, blank, options, out_delimiter, changed_headers)
 
-    return CleanResult(data, targets, make_report, out_delimiter, op.writes, mapping)
+    def make_profile() -> DataFrame:
+        kept = steps.filter(~blank) if op.drop_empty else steps
+        return fold_facts(cell_facts(kept, names), names).select("column", "position", *MEASURES, *DOUBLES)
+
+    return CleanResult(data, targets, make_report, out_delimiter, op.writes, mapping, None if dedup else make_profile)
 
 
 def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedup: bool, blank: Column,

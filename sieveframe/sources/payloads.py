@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveframe.functions.cells import column
@@ -40,8 +40,17 @@ def json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFr
     marked = df.withColumn("_accepted", F.coalesce(objects, F.lit(False)))
     bad = marked.filter("NOT _accepted").drop("_accepted")
     parsed = F.from_json(text, ROWS)["rows"]
-    records = (marked.filter("_accepted")
-               .select(*[column(c) for c in order], F.posexplode(parsed).alias("item", "record")))
+    records = (marked.filter("_accepted").withColumn("_items", items)
+               .select(*[column(c) for c in order], "_items", F.posexplode(parsed).alias("item", "record")))
     keys = json_keys(records, order)
-    cells = [F.coalesce(F.try_element_at("record", F.lit(key)), F.lit("")).alias(key) for key in keys]
-    return records.select(*cells), bad
+    return records.select(*[_cell(key).alias(key) for key in keys]), bad
+
+
+def _cell(key: str) -> Column:
+    """Text of a key's value in ``record``; a boolean, told from equal text by its type, is True or False."""
+    value = F.try_element_at("record", F.lit(key))
+    if "'" in key or "\\" in key:  # no path names such a key
+        return F.coalesce(value, F.lit(""))
+    typed = F.try_variant_get(F.get("_items", F.col("item")), f"$['{key}']", "variant")
+    boolean = value.isin("true", "false") & (F.schema_of_variant(typed) == "BOOLEAN")
+    return F.when(boolean, F.initcap(value)).otherwise(F.coalesce(value, F.lit("")))
