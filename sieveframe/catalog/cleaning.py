@@ -13,7 +13,7 @@ from sieveframe.functions import cells as C
 from sieveframe.operators.profile import (
     SUMMARY_COLUMNS, cell_facts, column_stats, fold_facts, invalid_dates as total_invalid_dates, missing_report as missing_of,
     mixed_type_columns as mixed_of, profile)
-from sieveframe.operators.rows import duplicate_count as count_duplicates
+from sieveframe.operators.rows import duplicate_count as count_duplicates, first_copies
 from sieveframe.plans.clean import clean, reconcile as reconciled
 from sieveframe.plans.questions import asked_column as column_asked, duplicates_found, missing_cells, table_size
 from sieveframe.sources.tables import as_table
@@ -181,6 +181,15 @@ def profile_floats(spark: SparkSession, folder: str) -> DataFrame:
     return doubles(profile(load(spark, folder, "embeddings").select(F.explode("embedding").alias("element"))), 3)
 
 
+@query("""select l_returnflag, l_linestatus, l_quantity, place, cast(row_number() over (order by place) as bigint) as position from (
+  select l_returnflag, l_linestatus, l_quantity, min(l_orderkey * 10 + l_linenumber) as place from lineitem group by 1, 2, 3) x""")
+def dedup_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    lines = load(spark, folder, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "l_quantity", "l_orderkey * 10 + l_linenumber as place")
+    kept = first_copies(lines, ["place"])  # some hundred rows: what is numbered here is their order as it comes out
+    return kept.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 # Each row stands for 3 * 10^10 copies, so that the total is over 10^27, which the decimal cannot hold.
 _COPIES = 3 * 10**10
 

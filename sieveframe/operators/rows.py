@@ -41,3 +41,14 @@ def duplicate_count(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
 def exact_dedup(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """One copy of every row."""
     return df.dropDuplicates(list(names)) if names else df.dropDuplicates()
+
+
+def first_copies(df: DataFrame, place: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """The first copy of every row, in order: ``names`` (all others than ``place``) and the columns of ``place``.
+
+    ``place`` names columns whose values put the rows in order and are never equal for two rows. Copies are
+    folded inside each task before the shuffle; the result is range-sorted, so its files follow the order.
+    """
+    names = list(names or [c for c in df.columns if c not in place])
+    first = df.groupBy(*[column(n) for n in names]).agg(F.min(F.struct(*map(column, place))).alias("_first"))
+    return first.select(*map(column, names), *[F.col("_first")[p].alias(p) for p in place]).orderBy(*map(column, place))

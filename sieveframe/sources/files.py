@@ -29,6 +29,14 @@ def _occurrences(text: Column, character: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
 
 
+def _opens_field(line: Column) -> Column:
+    """True if a quote opens a field, where a field begins, and does not close it on this line."""
+    marks = "".join("\\t" if d == "\t" else d for d in DELIMITERS)
+    single = F.replace(line, F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(single, f'(^|[{marks}])"[^"]*"', "$1")
+    return line.contains('"') & bare.rlike(f'(^|[{marks}])"')
+
+
 def _decoded(raw: Column, encoding: Column) -> Column:
     pairs = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)  # a line break is two bytes
     return (F.when(encoding == UTF16, F.decode(pairs, "UTF-16"))
@@ -38,9 +46,10 @@ def _decoded(raw: Column, encoding: Column) -> Column:
 def probe_files(spark: SparkSession, glob: str) -> DataFrame:
     """One row per file: ``path, length, encoding, first_line, open_lines, quotes, blank_lines, delimiter``.
 
-    ``open_lines`` counts physical lines with an odd number of quotes: more than none of them means
-    that cells hold line breaks. An odd ``quotes`` total means that a quote is never closed. Files
-    of zero length hold no line and are not listed.
+    ``open_lines`` counts physical lines on which a quote opens a field and does not close it: more than
+    none of them means that cells hold line breaks. A quote within an unquoted field is plain text. An odd
+    ``quotes`` total together with an open line means that a quote is never closed. Files of zero length
+    hold no line and are not listed.
     """
     value = F.col("value")
     quotes = _occurrences(value, '"')
@@ -49,10 +58,10 @@ def probe_files(spark: SparkSession, glob: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
         F.monotonically_increasing_id().alias("line_no"),
         F.when(F.col("_metadata.file_block_start") == 0, value.cast("binary")).alias("head"),
-        F.is_valid_utf8(value).alias("valid"), quotes.alias("quotes"), is_skipped_line(value).alias("skipped"))
+        F.is_valid_utf8(value).alias("valid"), quotes.alias("quotes"), _opens_field(value).alias("opens"), is_skipped_line(value).alias("skipped"))
     found = lines.groupBy("path", "length").agg(
         F.min_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("head"),
-        F.bool_and("valid").alias("valid"), F.count_if(F.col("quotes") % 2 == 1).alias("open_lines"),
+        F.bool_and("valid").alias("valid"), F.count_if("opens").alias("open_lines"),
         F.sum("quotes").cast("bigint").alias("quotes"), F.count_if("skipped").alias("blank_lines"))
     mark = F.hex(F.substring("head", 1, 2))
     encoding = F.when(mark.isin("FFFE", "FEFF"), UTF16).when(F.col("valid"), UTF8).otherwise(WINDOWS)
@@ -78,8 +87,8 @@ def file_delimiters(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def unclosed_quotes(spark: SparkSession, glob: str) -> DataFrame:
-    """Files whose number of quotes is odd."""
-    return probe_files(spark, glob).filter("quotes % 2 = 1").select("path", "quotes")
+    """Files in which a quote opens a field and is never closed."""
+    return probe_files(spark, glob).filter("quotes % 2 = 1 and open_lines > 0").select("path", "quotes")
 
 
 def manifest(spark: SparkSession, glob: str) -> DataFrame:

@@ -98,18 +98,19 @@ def _text_schema(names: Sequence[str], raw: bool = True) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             multiline: bool | None = None, strict: bool = False, ordered: bool = False) -> SourceTable:
+             multiline: bool | None = None, strict: bool = True, ordered: bool = False) -> SourceTable:
     """Delimited text with a header row.
 
     What is left open (delimiter, encoding, whether cells hold line breaks) is found by one scan of
-    the lines; a second scan finds the width of the widest row, so that no field is lost.
+    the lines; a second scan finds the width of the widest row, so that no field is lost. An open quote
+    would swallow the rest of its file, so it is refused; ``strict=False`` reads it with a warning.
     """
     facts = probe_files(spark, path).agg(
         F.count("*").alias("files"), F.count_if(F.col("length") > 0).alias("filled"),
         F.count_distinct("encoding").alias("encodings"), F.max("encoding").alias("encoding"),
         F.count_distinct("delimiter").alias("delimiters"), F.max("delimiter").alias("delimiter"),
         F.count_distinct("first_line").alias("headers"), F.sum("open_lines").alias("open_lines"),
-        F.count_if(F.col("quotes") % 2 == 1).alias("unclosed"), F.sum("blank_lines").alias("blank_lines")).first()
+        F.count_if((F.col("quotes") % 2 == 1) & (F.col("open_lines") > 0)).alias("unclosed"), F.sum("blank_lines").alias("blank_lines")).first()
     if not facts["filled"]:
         raise ValueError("the table has no header; nothing was processed")
     if facts["headers"] > 1 or (encoding is None and facts["encodings"] > 1):
@@ -145,7 +146,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         F.coalesce(record_width(F.col(RAW), sep), F.lit(len(wide))).alias(width_name))
     warnings = []
     if facts["unclosed"]:
-        warnings.append(f"{facts['unclosed']} files have an odd number of quotes")
+        warnings.append(f"{facts['unclosed']} files leave a quote open")
     if facts["blank_lines"] and multiline:
         warnings.append("blank lines are not counted where cells hold line breaks")
     elif facts["blank_lines"]:
@@ -177,7 +178,7 @@ def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> Sourc
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
-               encoding: str | None = None, multiline: bool | None = None, strict: bool = False,
+               encoding: str | None = None, multiline: bool | None = None, strict: bool = True,
                ordered: bool = False) -> SourceTable:
     """CSV, TSV or Parquet, told apart by suffix unless ``fmt`` names the format.
 

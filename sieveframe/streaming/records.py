@@ -17,7 +17,11 @@ from sieveframe.sources.tables import SourceTable, as_table
 
 def stream_clean(stream: SourceTable | DataFrame, operation: str = "tidy", *, column: str | None = None,
                  direction: str | None = None) -> DataFrame:
-    """The row-local part of a cleaning operation on a stream: no state, no shuffle."""
+    """The row-local part of a cleaning operation on a stream: no state, no shuffle.
+
+    Columns keep their names unless the operation renames them; as a sink takes no name twice, a name
+    that repeats another gets its unique form.
+    """
     op = OPERATIONS[resolve(operation)]
     if op.dedup or not op.writes:
         raise ValueError("only operations that look at one row at a time apply to a stream")
@@ -26,7 +30,12 @@ def stream_clean(stream: SourceTable | DataFrame, operation: str = "tidy", *, co
     if op.drop_empty:
         steps = steps.filter(~row_is_blank(table.names))
     cells = [C.guard(C.column(n)).alias(n) if op.guard else C.column(n) for n in table.names]
-    return steps.select(*cells)
+    if op.rename:
+        return steps.select(*cells)
+    given = [*table.originals, *table.extra_names]
+    lower = [name.lower() for name in given]
+    kept = [name if lower.count(name.lower()) == 1 and name else unique for name, unique in zip(given, table.names)]
+    return steps.select(*cells).toDF(*kept)
 
 
 def stream_dedup(stream: DataFrame, key: str | Sequence[str], ts: str | None = None,
