@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveframe.catalog import sqltext as Q
@@ -16,6 +16,7 @@ from sieveframe.operators.profile import (
 from sieveframe.operators.rows import duplicate_count as count_duplicates, first_copies
 from sieveframe.plans.clean import clean, reconcile as reconciled
 from sieveframe.plans.questions import asked_column as column_asked, duplicates_found, missing_cells, table_size
+from sieveframe.session import scratch_folder
 from sieveframe.sources.tables import as_table
 
 CELLS = ", ".join(DIRTY_COLUMNS)
@@ -181,13 +182,18 @@ def profile_floats(spark: SparkSession, folder: str) -> DataFrame:
     return doubles(profile(load(spark, folder, "embeddings").select(F.explode("embedding").alias("element"))), 3)
 
 
-@query("""select l_returnflag, l_linestatus, l_quantity, place, cast(row_number() over (order by place) as bigint) as position from (
-  select l_returnflag, l_linestatus, l_quantity, min(l_orderkey * 10 + l_linenumber) as place from lineitem group by 1, 2, 3) x""")
+@query("""select status, priority, day, place, cast(row_number() over (order by place) as bigint) as position from (
+  select o_orderstatus as status, o_orderpriority as priority, cast(day(o_orderdate) as bigint) as day, min(o_orderkey) as place
+  from orders group by 1, 2, 3) x""")
 def dedup_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    lines = load(spark, folder, "lineitem").selectExpr(
-        "l_returnflag", "l_linestatus", "l_quantity", "l_orderkey * 10 + l_linenumber as place")
-    kept = first_copies(lines, ["place"])  # some hundred rows: what is numbered here is their order as it comes out
-    return kept.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+    lines = load(spark, folder, "orders").selectExpr(
+        "o_orderstatus as status", "o_orderpriority as priority", "cast(day(o_orderdate) as bigint) as day", "o_orderkey as place")
+    kept = first_copies(lines, ["place"])
+    # One row for each combination, some hundred: numbered in the order in which a file of them is written.
+    at = scratch_folder(spark, "in-order")
+    kept.write.csv(at)
+    files = spark.read.csv(at, schema=kept.schema).select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return files.select(*kept.columns, F.row_number().over(Window.orderBy("file", "line")).cast("long").alias("position"))
 
 
 # Each row stands for 3 * 10^10 copies, so that the total is over 10^27, which the decimal cannot hold.
