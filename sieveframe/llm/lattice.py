@@ -197,6 +197,23 @@ def fitted(vocabulary: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Piece
     return pieces
 
 
+def frequent_words(vocabulary: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``vocabulary(n, ...)``, the most frequent ones down to a threshold.
+
+    The threshold comes from a histogram of the logarithms of the counts, which has some hundred rows
+    at any size, so that no task sorts or gathers the vocabulary. Equal counts stay together.
+    """
+    step = F.floor(F.log2("n") * 16)
+    steps = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    taken, least = 0, None
+    for row in sorted(steps, key=lambda r: -r.step):
+        taken += row.words
+        if taken > most:
+            break
+        least = row.least
+    return vocabulary.where(F.col("n") >= least) if least is not None else vocabulary.limit(0)
+
+
 @dataclass
 class Model:
     """What scoring needs besides the counts of rare words; its size does not depend on the corpus."""
@@ -315,7 +332,7 @@ def lattice_scores(docs: DataFrame, ranks: str, modulus: int = 7, remainder: int
         F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in numbers]).alias("words"),
         F.array(*[F.count(F.when(F.col(c) > 0, 1)) for c in numbers]).alias("distinct")).first()
     pieces = fitted(vocabulary, read_pieces(ranks), rounds)
-    frequent = vocabulary.orderBy(F.desc("n"), "hash").limit(top).select("word", "hash", *numbers).mapInArrow(
+    frequent = frequent_words(vocabulary, top).select("word", "hash", *numbers).mapInArrow(
         partial(_spelled, pieces=pieces), "hash long, " + ", ".join(f"{c} long" for c in numbers) + ", spelled double").toArrow()
     hashes = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)  # at most ``top`` rows
     order = np.argsort(hashes)
