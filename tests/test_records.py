@@ -123,3 +123,10 @@ def test_a_pair_that_is_a_third_of_all_rows(spark):
     assert {r["job"] for r in R.delivery_gaps(expected, sent).collect()} == wanted
     last = R.latest_by_key(spark.range(3000).select(hot.alias("k"), "id"), "k", "id")
     assert {r["k"]: r["id"] for r in last.collect()}[0] == 2997
+
+
+def test_stream_keeps_headers_unless_the_operation_renames(spark):
+    df = spark.createDataFrame([(" x ", "y", "z")], "a string, b string, c string")
+    assert stream_clean(df.toDF(" ID ", "Nota", "nota"), "trim").columns[0] == " ID "
+    assert stream_clean(df.toDF(" ID ", "Nota", "b"), "trim").columns == [" ID ", "Nota", "b"]
+    assert stream_clean(df.toDF(" ID ", "Nota", "b"), "tidy").columns == ["id", "nota", "b"]
