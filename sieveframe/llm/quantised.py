@@ -1,13 +1,16 @@
 """Near-duplicate vectors by product quantisation: inverted lists, table-lookup distances, exact rerank.
 
 Unit vectors go to the list of their nearest coarse centroid; the residual is cut into subspaces, each
-coded by its nearest codeword. A vector is compared with the lists of its ``PROBES`` nearest centroids:
-its distance to a coded vector is a sum of table entries, and as every code knows its error ``e``, only
-vectors with ``distance <= limit + e`` can be links, so that the codes lose none. These are compared by
-cosine on the vectors themselves. The centroids are fitted on a bounded sample; every row is in the index.
-
-Equal vectors are one node. Lists are met in blocks inside tasks, which emit a number of links for each
-vector and a spanning forest, never pairs.
+coded by its nearest codeword. A vector is compared with every list that can hold a link of it. All that is
+in a list is nearer to its centroid than to any other, so a vector further than the limit beyond the plane
+halfway between that centroid and one of its own ``PROBES`` nearest has no link there. Its distance to a
+coded vector is a sum of table entries, and as every code knows its error ``e``, only vectors with
+``distance <= limit + e`` can be links. These are compared by cosine on the vectors themselves, so that
+neither lists nor codes lose a link. The centroids are fitted on a bounded sample; every row is in the index.
+
+Equal vectors are one node. Neighbouring lists form groups, which are met in blocks inside tasks; of two
+vectors in different lists only one asks. Tasks emit a number of links for each vector and a spanning
+forest, never pairs.
 """
 
 from __future__ import annotations
@@ -27,14 +30,17 @@ from sieveframe.llm.tables import stored
 
 SAMPLE_ROWS = 20_000  # vectors that the centroids are fitted on
 PER_CELL, MAX_CELLS = 512, 4096
-PROBES = 12
+PROBES = 12  # nearest centroids whose planes tell which lists cannot hold a link
+GROUP = 8  # lists that are met together, on average
 SUBSPACES, CODEWORDS = 8, 64
-BLOCK = 1024  # coded vectors, and queries, of a list that meet in one task
+BLOCK = 4096  # coded vectors, and queries, of a group that meet in one task
 PAIRS = 1 << 17  # candidates that are reranked at a time
+TABLE = 1 << 20  # distances that are looked up at a time
+SLACK = 1e-9  # on squared distances, for rounding
 COSINE = 0.93
 
 NODES = "vec_id long, node long, label long, size int, vector array<float>"
-CODED = "node long, copies long, label long, size int, home int, probes array<int>, codes array<int>, error double, vector array<float>"
+CODED = "node long, copies long, label long, size int, home int, grp int, groups array<int>, codes array<int>, error double, vector array<float>"
 
 
 @dataclass
@@ -44,6 +50,18 @@ class Index:
     centroids: np.ndarray
     cuts: np.ndarray
     codewords: list[np.ndarray]
+    groups: np.ndarray | None = None  # the group of each list; one for all if not given
+
+    def reach(self, units: np.ndarray, pivots: np.ndarray, cells: np.ndarray, limit: float) -> np.ndarray:
+        """Which of the lists may hold a vector within ``limit`` of each unit; ``pivots`` are centroids near it."""
+        there = self.centroids[cells]
+        far = squared(units, there)
+        near = np.ones(far.shape, bool)
+        for k in range(pivots.shape[1]):
+            pivot = self.centroids[pivots[:, k]]
+            apart = np.sqrt(np.maximum(squared(pivot, there), 0))
+            near &= far - ((units - pivot) ** 2).sum(1)[:, None] <= 2 * limit * apart + SLACK
+        return near
 
     def nearest(self, units: np.ndarray, n: int) -> np.ndarray:
         """The numbers of the ``n`` nearest centroids, the nearest first."""
@@ -89,6 +107,8 @@ def fit(units: np.ndarray, cells: int, seed: int = 6) -> Index:
     residuals = units - index.centroids[index.nearest(units, 1)[:, 0]]
     for k, (low, high) in enumerate(zip(index.cuts, index.cuts[1:])):
         index.codewords.append(centres(residuals[:, low:high], CODEWORDS, seed + 1 + k))
+    middles = centres(index.centroids, -(-len(index.centroids) // GROUP), seed)
+    index.groups = squared(index.centroids, middles).argmin(1)
     return index
 
 
@@ -119,25 +139,39 @@ def _matrix(column: pa.ListArray | pa.ChunkedArray, width: int, dtype: type = np
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), width)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], indices: dict[int, Index], probes: int) -> Iterator[pa.RecordBatch]:
+def _limit(cosine: float) -> float:
+    """The distance of unit vectors at that cosine, with room for rounding."""
+    return np.sqrt(2 - 2 * cosine) + 1e-6
+
+
+def _coded(batches: Iterator[pa.RecordBatch], indices: dict[int, Index], probes: int, cosine: float
+           ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column("size").to_numpy()
         for size in np.unique(sizes):
             part = batch.filter(pa.array(sizes == size))
             index = indices.get(int(size)) or trivial(int(size))
             units = unit_rows(_matrix(part.column("vector"), size))
-            near = index.nearest(units, probes)
-            codes, error = index.code(units - index.centroids[near[:, 0]])
-            rows = part.num_rows
-
-            def lists(values: np.ndarray) -> pa.ListArray:
-                ends = np.arange(rows + 1, dtype=np.int32) * values.shape[1]
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32).ravel()))
+            near = index.nearest(units, max(probes, 1))
+            home = near[:, 0]
+            codes, error = index.code(units - index.centroids[home])
+            every = np.arange(len(index.centroids))
+            # a list before its own asks in turn
+            asked = index.reach(units, near, every, _limit(cosine)) & (every >= home[:, None])
+            groups = np.zeros(len(every), int) if index.groups is None else index.groups
+            rows, cells = np.nonzero(asked)
+            pairs = np.unique(rows * (groups.max() + 1) + groups[cells])
+            ends = np.searchsorted(pairs, np.arange(part.num_rows + 1) * (groups.max() + 1))
+
+            def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32).ravel()))
 
             yield pa.RecordBatch.from_arrays([
                 part.column("node"), part.column("copies"), part.column("label"), part.column("size"),
-                pa.array(near[:, 0].astype(np.int32)), lists(near), lists(codes), pa.array(error), part.column("vector")],
-                ["node", "copies", "label", "size", "home", "probes", "codes", "error", "vector"])
+                pa.array(home.astype(np.int32)), pa.array(groups[home].astype(np.int32)),
+                lists(pairs % (groups.max() + 1), ends),
+                lists(codes, np.arange(part.num_rows + 1) * codes.shape[1]), pa.array(error), part.column("vector")],
+                ["node", "copies", "label", "size", "home", "grp", "groups", "codes", "error", "vector"])
 
 
 def trivial(size: int) -> Index:
@@ -159,38 +193,58 @@ def _roots(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _compare(key: tuple, table: pa.Table, indices: dict[int, Index], cosine: float) -> pa.Table:
-    """Links between a block of queries and a block of a list's members: counts, and a forest."""
-    size, cell = key[1].as_py(), key[2].as_py()
+    """Links between a block of queries and a block of a group's members: counts, and a forest."""
+    size = key[1].as_py()
     index = indices.get(size) or trivial(size)
     query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
     units = unit_rows(_matrix(table.column("vector"), size))
     node, copies, home = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
-    probes = _matrix(table.column("probes"), min(PROBES, len(index.centroids)), np.int64)
     codes = _matrix(table.column("codes"), len(index.codewords), np.int64)
     error = table.column("error").to_numpy()
     asks, holds = np.flatnonzero(query), np.flatnonzero(~query)
-    limit = np.sqrt(2 - 2 * cosine) + 1e-6
-    near = index.distances(units[asks], cell, codes[holds]) <= limit + error[holds]
-    near &= node[asks][:, None] != node[holds][None, :]
-    i, j = np.nonzero(near)
-    linked = [k for low in range(0, len(i), PAIRS) for k in [slice(low, low + PAIRS)]]
-    keep = np.concatenate([np.einsum("ij,ij->i", units[asks[i[k]]], units[holds[j[k]]]) >= cosine for k in linked]) \
-        if linked else np.zeros(0, bool)
-    one, two = asks[i[keep]], holds[j[keep]]
-    count = np.bincount(one, copies[two], len(node))
-    # The other side counts the pair in its own list if it looks there, else here.
-    unseen = ~(probes[two] == home[one][:, None]).any(1)
-    count += np.bincount(two[unseen], copies[one[unseen]], len(node))
-    has = np.flatnonzero(count)
+    limit = _limit(cosine)
     first = {int(x): k for k, x in reversed(list(enumerate(node)))}  # a vector may be both query and member
     place = np.array([first[int(x)] for x in node])
-    root = _roots(len(node), place[one], place[two])
+    count, ones, twos = np.zeros(len(node)), [], []
+    for cell in np.unique(home[holds]):
+        members = holds[home[holds] == cell]
+        asking = asks[home[asks] <= cell]
+        asking = asking[index.reach(units[asking], home[asking][:, None], np.array([cell]), limit)[:, 0]]
+        step = max(1, TABLE // len(members))
+        for low in range(0, len(asking), step):
+            one, two = _links(index, cell, asking[low:low + step], members, units, codes, error, node, limit, cosine)
+            count += np.bincount(one, copies[two], len(node))
+            across = home[one] != cell  # in one list, both ask
+            count += np.bincount(two[across], copies[one[across]], len(node))
+            names, at = np.unique(place[np.concatenate([one, two])], return_inverse=True)
+            root = _roots(len(names), at[:len(one)], at[len(one):])
+            ones.append(names)
+            twos.append(names[root])
+    has = np.flatnonzero(count)
+    none = np.zeros(0, np.int64)
+    root = _roots(len(node), np.concatenate([none, *ones]), np.concatenate([none, *twos]))
     edge = np.flatnonzero(root != np.arange(len(node)))
     return pa.table({"node": pa.array(np.concatenate([node[has], node[edge]])),
                      "links": pa.array(np.concatenate([count[has].astype(np.int64), np.zeros(len(edge), np.int64)])),
                      "other": pa.array(np.concatenate([node[has], node[root[edge]]]))})
 
 
+def _links(index: Index, cell: int, asking: np.ndarray, members: np.ndarray, units: np.ndarray, codes: np.ndarray,
+           error: np.ndarray, node: np.ndarray, limit: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of ``asking`` and ``members`` of a list."""
+    near = index.distances(units[asking], cell, codes[members]) <= limit + error[members]
+    near &= node[asking][:, None] != node[members][None, :]
+    if 8 * np.count_nonzero(near) > near.size:  # one product for all is quicker than one for each candidate
+        near &= units[asking] @ units[members].T >= cosine
+        i, j = np.nonzero(near)
+        return asking[i], members[j]
+    i, j = np.nonzero(near)
+    one, two = asking[i], members[j]
+    keep = [np.einsum("ij,ij->i", units[one[k:k + PAIRS]], units[two[k:k + PAIRS]]) >= cosine for k in range(0, len(i), PAIRS)]
+    keep = np.concatenate([np.zeros(0, bool), *keep])
+    return one[keep], two[keep]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``.
 
@@ -198,7 +252,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
     least ``cosine``. A vector that is null, empty or zero, or holds a null or non-finite component, is
     linked with nothing; vectors of different lengths are not linked. A null vec_id stays null and is never
     the least of a component that has others. Repeated rows are linked with each other like equal
-    vectors. Other columns are ignored.
+    vectors. No link is left out, whatever ``probes`` is; more of them cut more comparisons. Other columns
+    are ignored.
     """
     given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("long"))
     rows = stored(given.mapInArrow(_nodes, NODES), "vectors")
@@ -212,10 +267,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
         part = sample.filter(pa.array(sample.column("size").to_numpy() == size))
         units = np.unique(unit_rows(_matrix(part.column("vector"), size)), axis=0)
         indices[size] = fit(units, min(MAX_CELLS, max(1, total // PER_CELL)))
-    coded = stored(nodes.mapInArrow(partial(_coded, indices=indices, probes=probes), CODED), "coded")
-    members = coded.withColumn("cell", F.col("home")).withColumn("query", F.lit(False))
-    asking = coded.withColumn("cell", F.explode("probes")).withColumn("query", F.lit(True))
-    cells = ["label", "size", "cell"]
+    coded = stored(nodes.mapInArrow(partial(_coded, indices=indices, probes=probes, cosine=cosine), CODED), "coded")
+    plain = coded.drop("groups")
+    members = plain.withColumn("query", F.lit(False))
+    asking = coded.withColumn("grp", F.explode("groups")).select(*plain.columns).withColumn("query", F.lit(True))
+    cells = ["label", "size", "grp"]
     blocks = (members.groupBy(cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_members"))
               .join(asking.groupBy(cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_asking")), cells))
 

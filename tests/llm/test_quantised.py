@@ -82,3 +82,21 @@ def test_code_errors_bound_the_look_up_distance():
         found = index.distances(units, cell, codes[inside])
         truth = np.sqrt(np.maximum(quantised.squared(units, units[inside]), 0))
         assert (np.abs(found - truth) <= error[inside] + 1e-6).all()
+
+
+def test_hot_group_of_distinct_near_copies_over_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "PER_CELL", 6)
+    monkeypatch.setattr(quantised, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    # a third of the rows around one centre, pairs at a cosine of about 0.95; the others in small families
+    hot = rng.normal(size=64) + rng.normal(size=(600, 64)) * np.sqrt(1 / 0.95 - 1)
+    rest = np.repeat(rng.normal(size=(300, 64)), 4, 0) + rng.normal(size=(1200, 64)) * rng.choice((.1, .25, .4), size=(1200, 1))
+    vectors = np.float32(np.concatenate([hot, rest]))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    units = quantised.unit_rows(vectors.astype(float))
+    truth = (units @ units.T >= quantised.COSINE).sum(1) - 1
+    found = {r.vec_id: r for r in quantised.near_vectors(df).collect()}
+    assert len(found) == 1800 and [found[k].n_links for k in range(1800)] == truth.tolist()
+    assert truth[:600].sum() > 0.8 * 600 * 599 and truth[600:].sum() > 500
+    root = quantised._roots(1800, *np.nonzero(units @ units.T >= quantised.COSINE))
+    assert [found[k].component_id for k in range(1800)] == root.tolist()
