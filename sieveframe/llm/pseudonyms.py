@@ -5,6 +5,12 @@ is an index into the set of all values of its format, and the index is permuted
 Feistel network whose round function is keyed BLAKE2b; values outside the valid set are walked on
 (cycle walking), so that the pseudonym is valid too and the map is one to one. Equal values have equal
 pseudonyms in all documents, whatever their separators, and the holder of the key can invert them.
+
+Where a match is no valid value, its readings that end at an earlier separator are tried, the longest first
+(an IBAN's by its country's length before all), then those that start at a later one. In such a run a card's
+groups have four digits or more, but for the last: in rows of shorter numbers some reading would always pass.
+Values in such a run are walked on together until the result is read as the text was, so that the run can be
+inverted; cards keep what they add to the check of a longer number, so that this is hardly ever needed.
 """
 
 from __future__ import annotations
@@ -33,11 +39,19 @@ SHAPES = re.compile(r"""
             |(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))
 | (?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
 | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))
-| (?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})(?![\w-]))
+| (?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})(?![\w-]|\.\d))
 | (?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
 | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\w/-]))
-| (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))
+| (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))
 """, re.VERBOSE)
+REST = re.compile(r"(?P<card>\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))")  # after a hyphen inside a run of digits
+GROUPED = re.compile(r"(?:\d{4,}[ -])*\d+")
+CUTS = {"card": re.compile("[ -]"), "iban": re.compile(" "), "phone": re.compile("[ .-]")}  # separators inside a value
+IBAN_LENGTHS = {country: int(n) for n, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split())
+    for country in countries.split(",")}
 
 
 def permute(index: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
@@ -173,8 +187,10 @@ class Pseudonyms:
 
         def varied(x: int) -> bool:
             body = digits[0] + f"{x:0{size}d}"
-            return len(set(body)) > 1 or luhn(body) != int(body[0])
+            # the check of a longer number around this one must come out as before
+            return (len(set(body)) > 1 or luhn(body) != int(body[0])) and luhn(body + str(luhn(body))) == beyond
 
+        beyond = luhn(digits)
         body = digits[0] + f"{walk(int(digits[1:-1]), 10 ** size, varied, self.key, tweak, self.inverse):0{size}d}"
         return refill(text, body + str(luhn(body)))
 
@@ -238,19 +254,97 @@ class Pseudonyms:
         index = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, b"date", self.inverse)
         return datetime.date.fromordinal(FIRST_DAY + index)
 
+    def _readings(self, text: str, match: re.Match, inside: bool) -> Iterator[tuple[int, str]]:
+        """Where a value that starts with the match may end, and its kind; ``inside`` a run that failed before."""
+        start, end, kind = match.start(), match.end(), match.lastgroup
+        cuts = [start + x.start() for x in CUTS[kind].finditer(match[0])] if kind in CUTS else []
+        ends = [end, *reversed(cuts)]
+        if kind == "iban":
+            length = IBAN_LENGTHS.get(match[0][:2])
+            ends.sort(key=lambda x: len(text[start:x].replace(" ", "")) != length)
+        for at in ends:
+            if at == end:
+                found = kind
+            else:
+                shorter = (REST if match.re is REST else SHAPES).match(text, start, at)
+                found = shorter.lastgroup if shorter and shorter.end() == at else None
+            if found and not (found == "card" and (inside or at < end) and not GROUPED.fullmatch(text, start, at)):
+                yield at, found
+
+    def _found(self, text: str, low: int, high: int) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int]]]:
+        """Start, end, kind and pseudonym of the values that start in the range, and the matches that failed as wholes."""
+        values, failed, within = [], [], low
+        shape = SHAPES.search
+        while low < high and (match := shape(text, low) or SHAPES.search(text, low)) and match.start() < high:
+            start, end, shape = match.start(), match.end(), SHAPES.search
+            cut = CUTS[match.lastgroup].search(text, start, end) if match.lastgroup in CUTS else None
+            for at, kind in self._readings(text, match, start < within):
+                if at < end and match.lastgroup == "phone" and self._card_at(text, cut.end()):
+                    continue  # a card after a number with a plus
+                new = getattr(self, kind)(text[start:at])
+                if new is not None:
+                    values.append((start, at, kind, new))
+                    break
+            else:
+                at = cut.start() if cut else end
+            if not values or values[-1][:2] != (start, end):
+                failed.append((start, end))
+                within = max(within, end)
+            low = at
+            if at < end and text[at] in " .-":
+                low = at + 1
+                if text[at] == "-" and match.lastgroup == "card":
+                    shape = REST.match
+        return values, failed
+
+    def _card_at(self, text: str, start: int) -> bool:
+        match = SHAPES.match(text, start)
+        return bool(match) and any(kind == "card" and self.card(text[start:at]) for at, kind in self._readings(text, match, True))
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many values of each kind it held."""
         counts = dict.fromkeys(KINDS, 0)
-
-        def put(match: re.Match) -> str:
-            kind = match.lastgroup
-            new = getattr(self, kind)(match[0])
-            if new is None:
-                return match[0]
-            counts[kind] += 1
-            return new
-
-        return SHAPES.sub(put, text), counts
+        values, failed = self._found(text, 0, len(text))
+        for value in values:
+            counts[value[2]] += 1
+        runs: list[list[int]] = []  # stretches of failed matches that overlap
+        for start, end in failed:
+            if runs and start < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end])
+        out, last, k = [], 0, 0
+        while k < len(values):
+            start, end = values[k][:2]
+            while runs and runs[0][1] <= start:
+                runs.pop(0)
+            n = 1
+            if runs and runs[0][0] < end:
+                low, high = min(start, runs[0][0]), max(end, runs[0][1])
+                while k + n < len(values) and values[k + n][0] < high:
+                    high = max(high, values[k + n][1])
+                    n += 1
+                new = self._together(text, low, high)
+            else:
+                low, high, new = start, end, values[k][3]
+            out += [text[last:low], new]
+            last, k = high, k + n
+        return "".join([*out, text[last:]]), counts
+
+    def _together(self, text: str, low: int, high: int) -> str:
+        """The range with pseudonyms, walked on until it is read as the text is."""
+        values = self._found(text, low, high)[0]
+        kinds, news = [v[2] for v in values], [v[3] for v in values]
+        between = [text[a:b] for a, b in zip([low, *(v[1] for v in values)], [*(v[0] for v in values), high])]
+        while True:
+            new, places = between[0], []
+            for kind, value, after in zip(kinds, news, between[1:]):
+                places.append((low + len(new), low + len(new) + len(value), kind))
+                new += value + after
+            read = self._found(text[:low] + new + text[high:], low, low + len(new))[0]
+            if [v[:3] for v in read] == places:
+                return new
+            news = [getattr(self, kind)(x) for kind, x in zip(kinds, news)]
 
 
 def replacer(key: str, inverse: bool = False):
