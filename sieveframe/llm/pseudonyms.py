@@ -35,11 +35,12 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 # A match starts and ends where a value can: not inside a longer run of the same characters.
 SHAPES = re.compile(r"""
   (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))
-| (?P<secret>\b(?i:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,512}["']
+| (?P<secret>\b(?i:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}["'][^"'\s]{8,}+["']
             |(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))
 | (?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
 | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))
-| (?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})(?![\w-]|\.\d))
+| (?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\+\d{1,5}(?:[ .-]\d{1,4}){1,5}[ .-]\d{2,12}|\+\d{1,6}[ -]\d{5,14}|\+\d{8,15}
+            |(?<![.-])\d{3}(?P<mark>[.-])\d{3}(?P=mark)\d{4})(?![\w-]|\.\d))
 | (?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
 | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\w/-]))
 | (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))
@@ -47,6 +48,8 @@ SHAPES = re.compile(r"""
 REST = re.compile(r"(?P<card>\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))")  # after a hyphen inside a run of digits
 GROUPED = re.compile(r"(?:\d{4,}[ -])*\d+")
 CUTS = {"card": re.compile("[ -]"), "iban": re.compile(" "), "phone": re.compile("[ .-]")}  # separators inside a value
+COUNTRY = re.compile(  # calling codes: a number's digits tell where its country code ends
+    r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 IBAN_LENGTHS = {country: int(n) for n, countries in (x.split(":") for x in (
     "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
     "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
@@ -90,11 +93,23 @@ def walk(index: int, size: int, valid: Callable[[int], bool], key: bytes, tweak:
 
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+PART = 512  # the arithmetic on one number grows faster than its digits
 HEX = (("0123456789abcdef",), ("0123456789ABCDEF",))
 
 
 def permute_text(text: str, key: bytes, tweak: bytes, inverse: bool, classes: tuple[str, ...] = CLASSES) -> str:
-    """Every character that is in a class becomes one of the same class; the others stay in place."""
+    """Every character that is in a class becomes one of the same class; the others stay in place.
+
+    Longer texts than ``PART`` are permuted part by part, each under a tweak of the parts before it.
+    """
+    if len(text) > PART:
+        before, out = hashlib.blake2b(key=key), []
+        for low in range(0, len(text), PART):
+            part = text[low:low + PART]
+            new = permute_text(part, key, tweak + b" after " + before.digest(), inverse, classes)
+            before.update((new if inverse else part).encode())
+            out.append(new)
+        return "".join(out)
     kinds = [next((c for c in classes if x in c), "") for x in text]
     radices = [len(c) for c in kinds if c]
     index = 0
@@ -198,7 +213,7 @@ class Pseudonyms:
         digits = only_digits(text)
         kept = 0
         if text[0] == "+":  # the country code stays
-            kept = len(re.match(r"\+(\d{1,3})(?=[ .(-]|$)", text)[1]) if re.match(r"\+\d{1,3}[ .(-]", text) else 1
+            kept = len(COUNTRY.match(digits)[0])
         rest = digits[kept:]
         if len(digits) > 15 or len(rest) < 7:
             return None
@@ -218,40 +233,38 @@ class Pseudonyms:
 
     def date(self, text: str) -> str | None:
         parts = re.split(r"[-/.]", text)
+        year_first = len(parts[0]) == 4
+        month_first = not year_first and int(parts[1]) > 12
         try:
-            if len(parts[0]) == 4:
-                day = datetime.date(*map(int, parts)).toordinal()
-            elif int(parts[1]) <= 12:
-                day = datetime.date(int(parts[2]), int(parts[1]), int(parts[0])).toordinal()
+            if year_first:
+                day = datetime.date(*map(int, parts))
+            elif month_first:
+                day = datetime.date(int(parts[2]), int(parts[0]), int(parts[1]))
             else:
-                return self._month_first(text, parts)
+                day = datetime.date(int(parts[2]), int(parts[1]), int(parts[0]))
         except ValueError:
             return None
         new = self._day(day)
         if new is None:
             return None
-        if len(parts[0]) == 4:
+        if year_first:
             return f"{new:%Y-%m-%d}"
+        one, two = (new.month, new.day) if month_first else (new.day, new.month)
         mark = text[len(parts[0])]
-        return f"{new.day:0{len(parts[0])}d}{mark}{new.month:0{len(parts[1])}d}{mark}{new.year}"
+        return f"{one:0{len(parts[0])}d}{mark}{two:0{len(parts[1])}d}{mark}{new.year}"
 
-    def _month_first(self, text: str, parts: list[str]) -> str | None:
-        day = datetime.date(int(parts[2]), int(parts[0]), int(parts[1])).toordinal()
-        if not FIRST_DAY <= day <= LAST_DAY:
+    def _day(self, day: datetime.date) -> datetime.date | None:
+        """The same for a day in all notations; it has as many digits and can be read the same ways."""
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
-        mark = text[len(parts[0])]
 
-        def late(x: int) -> bool:  # such a date must stay readable one way only
-            return datetime.date.fromordinal(FIRST_DAY + x).day > 12
+        def written(x: datetime.date) -> tuple[bool, bool, bool]:
+            return x.day > 12, x.day > 9, x.month > 9
 
-        index = walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, late, self.key, b"date month first", self.inverse)
-        new = datetime.date.fromordinal(FIRST_DAY + index)
-        return f"{new.month:0{len(parts[0])}d}{mark}{new.day:0{len(parts[1])}d}{mark}{new.year}"
+        def alike(x: int) -> bool:
+            return written(datetime.date.fromordinal(FIRST_DAY + x)) == written(day)
 
-    def _day(self, day: int) -> datetime.date | None:
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
-        index = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, b"date", self.inverse)
+        index = walk(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, alike, self.key, b"date", self.inverse)
         return datetime.date.fromordinal(FIRST_DAY + index)
 
     def _readings(self, text: str, match: re.Match, inside: bool) -> Iterator[tuple[int, str]]:
@@ -354,8 +367,8 @@ def replacer(key: str, inverse: bool = False):
     @F.arrow_udf("text string, " + ", ".join(f"n_{k} int" for k in KINDS))
     def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            # every kind holds a digit, an @ or a quoted value
-            likely = pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]|[=:]\s*[\"']"), False).to_pylist()
+            # every kind holds a digit, an @, a quoted value or AKIA
+            likely = pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]|[=:]\s*[\"']|AKIA"), False).to_pylist()
             out, counts = texts.to_pylist(), [[0] * len(texts) for _ in KINDS]
             for k, look in enumerate(likely):
                 if look:
