@@ -26,8 +26,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.without_near_duplicates(docs)
+    """One document of each group of near-duplicates: a similarity of 0.8 or more over five-word shingles."""
+    return minhash.without_near_duplicates(docs, minhash.AT_80)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

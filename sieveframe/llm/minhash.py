@@ -8,13 +8,15 @@ Texts with equal sets are one node from then on, so a thousand copies cost no mo
 Candidates: nodes that share a band's bucket. A bucket gives a star from its least node, so its pairs
 grow with its members; all are confirmed on full sets. Where a bucket still holds more than one
 component after that, its other members are compared in blocks inside tasks, which emit a spanning
-forest of the links they find and never the pairs. A pair at the threshold of 0.85 is missed by all
-bands with a probability of about 1e-6.
+forest of the links they find and never the pairs. A pair at the threshold of 0.85, or of 0.8 under
+``AT_80``, is missed by all bands with a probability of about 1e-6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,26 @@ from sieveframe.llm.words import as_long, mix, slices, split
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 PERCENT = 85
+
 BLOCK = 512  # members of a bucket that one task compares with as many others
 COLUMNS = 2048  # shingles at a time in that comparison
 
 SKETCH = "doc_id long, row_key long, n_shingles long, node long, bands array<long>"
 
 
+@dataclass(frozen=True)
+class Threshold:
+    """Least similarity of a link, in percent, and the bands that find such pairs."""
+
+    percent: int = PERCENT
+    bands: int = BANDS
+    rows: int = ROWS
+
+
+AT_85 = Threshold()
+AT_80 = Threshold(80, 48, 6)  # (1 - 0.8 ** 6) ** 48 is 5e-7
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text; empty without words."""
     words = split(texts)
@@ -88,14 +104,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(part.column("text"))
-            keys = band_keys(signatures(sets, BANDS * ROWS), BANDS, ROWS)
+            keys = band_keys(signatures(sets, bands * rows), bands, rows)
             lengths = np.array([len(s) for s in sets])
             keys = as_long(keys[lengths > 0])
-            offsets = np.concatenate([[0], np.cumsum(np.where(lengths > 0, BANDS, 0))])
+            offsets = np.concatenate([[0], np.cumsum(np.where(lengths > 0, bands, 0))])
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("row_key"), pa.array(lengths, pa.int64()),
@@ -152,7 +168,7 @@ def forest(matrix: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return edges
 
 
-def _block_pair(key: tuple, table: pa.Table) -> pa.Table:
+def _block_pair(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     """Forest of the links between block ``i`` and block ``j`` of a bucket's members."""
     blocks = table.column("block").to_numpy()
     nodes = table.column("node").to_numpy()
@@ -163,21 +179,21 @@ def _block_pair(key: tuple, table: pa.Table) -> pa.Table:
     one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
     edges = []
     if len(one) and len(two):
-        edges = forest(close([sets[k] for k in one], [sets[k] for k in two], PERCENT), nodes[one], nodes[two])
+        edges = forest(close([sets[k] for k in one], [sets[k] for k in two], percent), nodes[one], nodes[two])
     return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(two, "b").join(one, "a").withColumn("common", common)
-            .where(100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common")))
+            .where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
             .select("a", "b"))
 
 
-def _leftover(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _leftover(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside buckets that the star left in more than one component."""
     labelled = (buckets.where("node <> hub").join(roots, "node", "left")
                 .select("key", "node", F.coalesce("root", "node").alias("root")))
@@ -191,14 +207,14 @@ def _leftover(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
               .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                       "block", "node"))
     return (paired.join(sets, "node").groupBy("key", "i", "j")
-            .applyInArrow(_block_pair, "a long, b long"))
+            .applyInArrow(lambda key, table: _block_pair(key, table, percent), "a long, b long"))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, at: Threshold) -> DataFrame:
     """``doc_id, row_key, n_shingles, root`` of every row; the root names its component, or is null."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("row_key", row_key())
-    sketch = stored(keyed.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = stored(keyed.mapInArrow(partial(_sketch, bands=at.bands, rows=at.rows), SKETCH), "sketch")
     nodes = sketch.where("n_shingles > 0").dropDuplicates(["node"])
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     hubs = (banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
@@ -212,11 +228,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
                   .mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     size = buckets.select(F.col("node").alias("hub"), F.col("n_shingles").alias("n_hub")).distinct()
     pairs = (buckets.where("node <> hub").select("node", "hub", "n_shingles").distinct().join(size, "hub")
-             .where(100 * F.least("n_shingles", "n_hub") >= PERCENT * F.greatest("n_shingles", "n_hub"))
+             .where(100 * F.least("n_shingles", "n_hub") >= at.percent * F.greatest("n_shingles", "n_hub"))
              .select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    links = stored(_confirmed(pairs, sets), "links")
+    links = stored(_confirmed(pairs, sets, at.percent), "links")
     roots = stored(components(links), "roots")
-    more = stored(_leftover(buckets, roots, sets), "more-links")
+    more = stored(_leftover(buckets, roots, sets, at.percent), "more-links")
     roots = components(links.union(more))
     return sketch.join(roots, "node", "left").select(
         "doc_id", "row_key", "n_shingles", F.coalesce("root", "node").alias("root"))
@@ -227,28 +243,28 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, at: Threshold = AT_85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
-    Documents with ``100 * intersection >= 85 * union`` of their shingle sets are linked, directly or
+    Documents with ``100 * intersection >= percent * union`` (85 unless told otherwise) of their shingle sets are linked, directly or
     over others; ``component_id`` is the least doc_id that can be reached. A null or wordless text has
     no shingles and is linked with nothing. A null doc_id stays null, is never the least of a component
     that has others, and is kept where all its component's ids are null. Repeated rows come out as
     often as they come in. Other columns are ignored.
     """
-    named = _grouped(docs)
+    named = _grouped(docs, at)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return named.join(least, "root", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, at: Threshold = AT_85) -> DataFrame:
     """``docs`` with all its columns, one row of each component: that of the least id, null ids last.
 
     Texts without words are in no component and all stay.
     """
-    named = stored(_grouped(docs), "components")
+    named = stored(_grouped(docs, at), "components")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     first = named.where("root is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.row_key")
     row, repeated = fresh(docs, "row", "repeated")

@@ -63,3 +63,18 @@ def test_run_is_the_stages_in_turn(spark, folder):
     pieces = corpus_pipeline.run(spark, folder)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pieces.count() > 0
+
+
+def test_near_duplicates_from_four_fifths_on(spark, folder):
+    rows = []
+    for k in range(40):
+        words = [f"d{k}w{i}" for i in range(100)]
+        near, far = list(words), list(words)
+        for i in (20, 60):
+            near[i] = "changed"  # 86 of 106 shingles in common: 0.811
+        for i in (20, 50, 80):
+            far[i] = "other"  # 81 of 111: 0.73
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, folder).collect()}
+    assert kept == {r[0] for r in rows if r[0] % 3 != 1}
