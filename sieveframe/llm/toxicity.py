@@ -97,15 +97,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
         ) -> tuple[np.ndarray, np.ndarray]:
     """Features and weights learned from ``labels(doc_id, label)`` and the texts of ``docs(doc_id, text)``.
 
-    The fit uses at most ``train_rows`` labelled ids, the first by a hash of the id; an id with several
-    labels counts as 1 if one of them is. Null ids and labels teach nothing; without labels there are no
+    The fit uses at most ``train_rows`` labelled ids, the first by a hash of the id, and as many texts of
+    them; rows equal in id and text teach once. An id with several labels counts as 1 if one of them is. Null ids and labels teach nothing; without labels there are no
     weights and every score is 0.5.
     """
     chosen = (labels.where("doc_id is not null and label is not null").groupBy("doc_id")
               .agg(F.max(F.col("label").cast("int")).alias("label"))
               .orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(train_rows))
     texts = docs.select("doc_id", "text").where("text is not null")
-    sample = (texts.join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of two numbers
+    joined = (texts.join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of two numbers
+              .groupBy("doc_id", "text").agg(F.max("label").alias("label")))
+    sample = (joined.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id", F.xxhash64("text"), "text").limit(train_rows)
               .select(F.xxhash64(F.lit(9), "doc_id", "text").alias("place"), "text", "label")
               .repartition(1).sortWithinPartitions("place", "label"))
     rows = sample.mapInArrow(partial(_fit, bits=bits, epochs=epochs), "feature long, weight double").collect()

@@ -3,6 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from sieveframe.llm import toxicity
 from sieveframe.llm.catalog import QUERIES
 
@@ -62,3 +64,17 @@ def test_held_out_documents(spark):
     toxic = [r.predicted for r in rows if r.toxic == 1]
     clean = [r.predicted for r in rows if r.toxic == 0]
     assert sum(clean) <= 0.05 * len(clean) and sum(toxic) >= 0.5 * len(toxic)
+
+
+def test_repeated_ids_teach_once_and_within_the_bound(spark):
+    rows = [(k, "vile words here" if k % 2 else "kind words there") for k in range(6)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, label int")
+
+    def fitted(rows, **options):
+        features, weights = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, bits=12, epochs=1, **options)
+        return features.tolist(), weights.tolist()
+
+    assert fitted(rows + [rows[1]] * 300) == fitted(rows)
+    texts = [(1, f"vile {k}") for k in range(300)]
+    first = spark.createDataFrame(texts, "doc_id long, text string").orderBy(F.xxhash64("text"), "text").limit(6).collect()
+    assert fitted(texts, train_rows=6) == fitted([tuple(r) for r in first], train_rows=6)
