@@ -6,13 +6,19 @@ huge file is spread over its splits and only one row per file leaves each task.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
 DELIMITERS = [",", ";", "\t", "|"]
 UTF16, UTF8, WINDOWS = "utf-16", "utf-8-sig", "cp1252"
-DIGEST_LIMIT = 2**31 - 1024  # the binary reader holds one file in one array
+DIGEST_LIMIT = 2**31 - 1024  # the binary reader holds one file in one array; larger ones are read in blocks
+DIGEST_BLOCK = 8 * 1024**2
 
 
 def _binary(spark: SparkSession, glob: str) -> DataFrame:
@@ -91,12 +97,29 @@ def unclosed_quotes(spark: SparkSession, glob: str) -> DataFrame:
     return probe_files(spark, glob).filter("quotes % 2 = 1 and open_lines > 0").select("path", "quotes")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for uri in batch.column("path").to_pylist():
+            files, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+            digest = hashlib.sha256()
+            with files.open_input_stream(path) as stream:
+                while block := stream.read(DIGEST_BLOCK):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+
 def manifest(spark: SparkSession, glob: str) -> DataFrame:
-    """``path, length, sha256`` per file; no digest above 2 GiB, which one array cannot hold."""
+    """``path, length, sha256`` per file, the digest of all its bytes whatever its size.
+
+    Files above 2 GiB, which one array cannot hold, are read in blocks by Arrow's file systems.
+    """
     def files(condition: Column) -> DataFrame:
         return _binary(spark, glob).filter(condition)
 
     path = F.col("_metadata.file_path").alias("path")
     hashed = files(F.col("length") <= DIGEST_LIMIT).select(path, "length", F.sha2("content", 256).alias("sha256"))
-    large = files(F.col("length") > DIGEST_LIMIT).select(path, "length", F.lit(None).cast("string").alias("sha256"))
-    return hashed.unionByName(large)
+    large = files(F.col("length") > DIGEST_LIMIT).select(path, "length")
+    return hashed.unionByName(large.mapInArrow(_digests, "path string, length long, sha256 string"))
