@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveframe.llm import cascade, langid, lattice, minhash, mixture, packing, pseudonyms, quantised, toxicity, urls
+from sieveframe.llm import (cascade, decontamination, langid, lattice, minhash, mixture, negatives, packing, pseudonyms,
+                            quantised, resampling, toxicity, urls)
 from sieveframe.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +203,80 @@ def op3_url_lists_as_of_fetch(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_vector_near_dedup_pq(spark: SparkSession, folder: str) -> DataFrame:
     return quantised.near_vectors(load(spark, folder, "embeddings"))
+
+
+LOW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+# 3988292384 is the reversed polynomial of CRC-32.
+OP11_SQL = f"""
+with t as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: case when (c & 1) = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select doc_id, regexp_extract_all({_LOWERED}, '{LOW_WORD}') as w from documents),
+x as (select doc_id, unnest(w) as w from d),
+y as (select unnest(regexp_extract_all({_LOWERED}, '{LOW_WORD}')) as w from benchmark),
+h as (select w, hex(encode(w)) as h from (select w from x union select w from y)),
+b as (select w, xor(list_reduce(list_transform(range(0, len(h) // 2 + 1), lambda i:
+    case when i = 0 then 4294967295 else cast('0x' || substr(h, 2 * i - 1, 2) as bigint) end),
+  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 as b from h, t),
+s as (select b, count(*) as n from x join b using (w) group by b),
+g as (select b, count(*) as n from y join b using (w) group by b),
+k as (select b.b, cast(floor(1000 * ln((coalesce(any_value(g.n), 0) + 1)::double * ((select count(*) from x) + 10000)::double
+    / ((coalesce(any_value(s.n), 0) + 1)::double * ((select count(*) from y) + 10000)::double))) as bigint) as gain
+  from (select distinct b from b) b left join s using (b) left join g using (b) group by b.b),
+v as (select doc_id, sum(gain) as gain from x join b using (w) join k using (b) group by doc_id),
+a as (select d.doc_id, cast(len(w) as bigint) as n_features, cast(floor(coalesce(v.gain, 0) / greatest(len(w), 1)) as bigint) as weight,
+  cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) as h from d left join v on d.doc_id = v.doc_id),
+r as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from a),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as rank from r where n_features >= 20)
+select r.doc_id, n_features, weight, score,
+  cast(case when o.rank <= (select count(*) from o) * 10 // 100 then o.rank end as bigint) as rank
+from r left join o on r.doc_id = o.doc_id"""
+
+
+@query(OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampling(load(spark, folder, "documents"), load(spark, folder, "benchmark")).drop("digest")
+
+
+OP12_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_LOWERED}, '{LOW_WORD}') as w from documents),
+i as (select item_id, regexp_extract_all({_LOWERED}, '{LOW_WORD}') as w from benchmark),
+n as (select distinct item_id, len as n, array_to_string(w[p:p + len - 1], ' ') as g from (
+  select item_id, w, least(len(w), 10) as len, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from i where len(w) > 0)),
+x as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g from (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from n) where len(w) >= n)),
+m as (select doc_id, p, x.n, item_id from x join n using (n, g)),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (
+  select distinct doc_id, cast(item_id as varchar) as item from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id"""
+
+
+@query(OP12_SQL)
+def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from (select anchor_id, vec_id as positive_id, score as positive_score,
+    row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same) where place <= 5),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
+
+
+@query(OP13_SQL)
+def op13_slotted_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = load(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
