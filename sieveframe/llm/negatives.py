@@ -202,7 +202,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column | None = None, positives:
         merged = F.slice(F.concat(own, merged), 1, negatives)
         suffixes.insert(0, merged)
     answers = lists.select("anchor", F.array(*suffixes).alias("suffixes"))
-    lowest = F.expr(f"(score - pmod(score, 100L)) div 100 * {low} + ceil(pmod(score, 100L) * {low} / 100)")
+    lowest = F.expr(f"score div 100 * {low} + ceil(score % 100 * {low} / 100)")
     taken = best.select("anchor", "place", F.col("id").alias("positive_id"), "score", lowest.alias("lowest")).join(answers, "anchor") \
         .withColumn("window", F.filter(F.element_at("suffixes", F.col("place")), lambda x: x["score"] >= F.col("lowest"))) \
         .select("anchor", "positive_id", "score", F.posexplode("window"))
