@@ -120,7 +120,7 @@ def ragged_csv(spark: SparkSession, folder: str) -> DataFrame:
     headed = lines.select(F.when(first, F.concat(F.lit(";".join(RAGGED_HEADERS) + "\n"), F.col("line")))
                           .otherwise(F.col("line")).alias("line"))
     headed.write.text(path)
-    table = read_table(spark, path, "csv", multiline=False)
+    table = read_table(spark, path, "csv")
     return table.data.withColumnRenamed(table.width_column, "width")
 
 

@@ -1,7 +1,7 @@
 """What the files of an input are: encoding, delimiter, quoting, size and digest.
 
-Each probe scans physical lines and folds them per file with partial aggregation, so a single
-huge file is spread over its splits and only one row per file leaves each task.
+Each probe scans physical lines and folds them per split, so a single huge file is spread over its splits
+and only one row for each of them leaves a task.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed values.
-DELIMITERS = [",", ";", "\t", "|"]
-UTF16, UTF8, WINDOWS = "utf-16", "utf-8-sig", "cp1252"
+from sieveframe.sources.records import DELIMITERS, UTF8, UTF16, WINDOWS, fold_splits, placed_splits, raw_lines
+
 DIGEST_LIMIT = 2**31 - 1024  # the binary reader holds one file in one array; larger ones are read in blocks
 DIGEST_BLOCK = 8 * 1024**2
 
@@ -25,61 +24,37 @@ def _binary(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
 
 
-def is_skipped_line(line: Column) -> Column:
-    """Lines the CSV reader leaves out: nothing but spaces and control characters, tabs included."""
-    return line.rlike(r"^[\x00-\x20]*\z")
-
-
-def _occurrences(text: Column, character: str) -> Column:
-    # Bytes, not characters: the text need not be valid UTF-8.
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
-
-
-def _opens_field(line: Column) -> Column:
-    """True if a quote opens a field, where a field begins, and does not close it on this line."""
-    marks = "".join("\\t" if d == "\t" else d for d in DELIMITERS)
-    single = F.replace(line, F.lit('""'), F.lit(""))
-    bare = F.regexp_replace(single, f'(^|[{marks}])"[^"]*"', "$1")
-    return line.contains('"') & bare.rlike(f'(^|[{marks}])"')
-
-
-def _decoded(raw: Column, encoding: Column) -> Column:
-    pairs = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)  # a line break is two bytes
-    return (F.when(encoding == UTF16, F.decode(pairs, "UTF-16"))
-            .when(encoding == WINDOWS, F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "UTF-8")))
+def encoding_of(charset: Column, valid: Column) -> Column:
+    """The encoding of a file by the mark it starts with and by whether all of it is UTF-8."""
+    return F.when(charset.isNotNull(), UTF16).when(valid, UTF8).otherwise(WINDOWS)
 
 
 def probe_files(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per file: ``path, length, encoding, first_line, open_lines, quotes, blank_lines, delimiter``.
+    """One row per file: ``path, length, encoding, first_line, delimiter, open_lines, quotes, blank_lines, odd_lines, unclosed``.
 
-    ``open_lines`` counts physical lines on which a quote opens a field and does not close it: more than
-    none of them means that cells hold line breaks. A quote within an unquoted field is plain text. An odd
-    ``quotes`` total together with an open line means that a quote is never closed. Files of zero length
-    hold no line and are not listed.
+    The delimiter is the candidate that cuts most records of the first 64 KiB alike. With it, ``open_lines``
+    counts physical lines that end inside a quoted field: more than none means that cells hold line breaks. A
+    quote within an unquoted field is plain text. ``odd_lines`` have text after a closing quote; ``unclosed``
+    files end inside a quoted field. Of UTF-16 files only encoding, first line and delimiter are told. Files
+    of zero length hold no line and are not listed.
     """
-    value = F.col("value")
-    quotes = _occurrences(value, '"')
-    # Only lines of a file's first block can be its first; the others travel on without their text.
-    lines = spark.read.option("recursiveFileLookup", True).text(glob).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.when(F.col("_metadata.file_block_start") == 0, value.cast("binary")).alias("head"),
-        F.is_valid_utf8(value).alias("valid"), quotes.alias("quotes"), _opens_field(value).alias("opens"), is_skipped_line(value).alias("skipped"))
-    found = lines.groupBy("path", "length").agg(
-        F.min_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("head"),
-        F.bool_and("valid").alias("valid"), F.count_if("opens").alias("open_lines"),
-        F.sum("quotes").cast("bigint").alias("quotes"), F.count_if("skipped").alias("blank_lines"))
-    mark = F.hex(F.substring("head", 1, 2))
-    encoding = F.when(mark.isin("FFFE", "FEFF"), UTF16).when(F.col("valid"), UTF8).otherwise(WINDOWS)
-    first_line = _decoded(F.col("head"), encoding)
-    return (found.select("path", "length", encoding.alias("encoding"), first_line.alias("first_line"),
-                         "open_lines", "quotes", "blank_lines")
-            .withColumn("delimiter", likely_delimiter(F.col("first_line"))))
+    splits = fold_splits(raw_lines(spark, glob))
+    named = splits.withColumn("delimiter", F.max("delimiter").over(Window.partitionBy("path")))
+    own = F.array_position(F.array(*map(F.lit, DELIMITERS)), F.col("delimiter")).cast("int") - 1
+    placed = placed_splits(named, own)
+    found = placed.groupBy("path", "length").agg(
+        F.max("first_line").alias("head"), F.max("charset").alias("charset"), F.bool_and("valid").alias("valid"), F.max("delimiter").alias("delimiter"),
+        F.sum("open_lines").alias("open_lines"), F.sum("quotes").alias("quotes"), F.sum("blanks").alias("blank_lines"),
+        F.sum("odd_lines").alias("odd_lines"), F.max_by("ends_inside", "block").alias("unclosed"))
+    encoding = encoding_of(F.col("charset"), F.col("valid"))
+    first = F.when(encoding == WINDOWS, F.decode("head", "ISO-8859-1")).otherwise(F.decode("head", "UTF-8"))
+    return found.select("path", "length", encoding.alias("encoding"), first.alias("first_line"), "delimiter", "open_lines",
+                        "quotes", "blank_lines", "odd_lines", "unclosed")
 
 
 def likely_delimiter(line: Column) -> Column:
     """The candidate seen most often in ``line``; the earlier candidate wins a tie."""
-    counts = [_occurrences(line, d) for d in DELIMITERS]
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(d), F.lit(""))) for d in DELIMITERS]
     most = F.greatest(*counts)
     return F.coalesce(*[F.when(n == most, d) for n, d in zip(counts, DELIMITERS)])
 
@@ -94,7 +69,7 @@ def file_delimiters(spark: SparkSession, glob: str) -> DataFrame:
 
 def unclosed_quotes(spark: SparkSession, glob: str) -> DataFrame:
     """Files in which a quote opens a field and is never closed."""
-    return probe_files(spark, glob).filter("quotes % 2 = 1 and open_lines > 0").select("path", "quotes")
+    return probe_files(spark, glob).filter("unclosed").select("path", "quotes")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

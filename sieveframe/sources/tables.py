@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -10,16 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveframe.functions.cells import column, stringify
-from sieveframe.functions.names import check_width, reserve, unique_names, widened_names
-from sieveframe.sources.files import DELIMITERS, UTF8, UTF16, WINDOWS, is_skipped_line, probe_files
+from sieveframe.functions.names import MAX_COLUMNS, check_width, reserve, unique_names, widened_names
+from sieveframe.session import written
+from sieveframe.sources.files import encoding_of
+from sieveframe.sources.records import (DELIMITERS, HEAD_BYTES, MARKS, UTF8, UTF16, WINDOWS, chosen_delimiter, cut_records,
+                                        fold_splits, head_text, is_blank_line, placed_splits, raw_lines, record_width)
 
 # Fixed values.
-MAX_CELL_CHARS = 2 * 1024**2
 CHARSETS = {UTF8: "UTF-8", UTF16: "UTF-16", WINDOWS: "windows-1252"}
 SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet"}
 
 FREE_TEXT = (T.StringType, T.CharType, T.VarcharType, T.BinaryType)
 
+HEAD_LINES = 1000
+PLACES = ("path", "record", "line")  # where a row of a delimited file comes from
 WIDTH = "_width"  # fields in the source row, kept beside the cells of ragged formats
 RAW = "_raw"
 
@@ -39,6 +45,7 @@ class SourceTable:
     width_column: str | None = None
     stripped: frozenset[str] = frozenset()  # columns whose text cannot have white space at its ends
     warnings: list[str] = field(default_factory=list)
+    place_columns: tuple[str, ...] = ()  # file, record and line of each row, if asked for
 
     @property
     def extra_names(self) -> list[str]:
@@ -79,88 +86,93 @@ def irregular(df: DataFrame, fields: str, header_width: int) -> DataFrame:
     return df.filter(F.size(fields) != header_width)
 
 
-def record_width(record: Column, delimiter: str) -> Column:
-    """Fields in one raw CSV record. A quote opens a quoted field only where a field begins."""
-    single = F.replace(record, F.lit('""'), F.lit(""))
-    bare = F.regexp_replace(single, f'(^|[{delimiter}])"[^"]*"', "$1")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType | None, header: bool, options: dict) -> DataFrame:
-    reader = spark.read.options(**options, header=header)
-    if schema is not None:
-        reader = reader.schema(schema).options(columnNameOfCorruptRecord=RAW, columnPruning=False)
-    return reader.csv(path)
-
-
-def _text_schema(names: Sequence[str], raw: bool = True) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([RAW] if raw else [])]])
-
-
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             multiline: bool | None = None, strict: bool = True, ordered: bool = False) -> SourceTable:
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, strict: bool = True,
+             ordered: bool = False, place: bool = False, max_cell_chars: int = -1) -> SourceTable:
     """Delimited text with a header row.
 
-    What is left open (delimiter, encoding, whether cells hold line breaks) is found by one scan of
-    the lines; a second scan finds the width of the widest row, so that no field is lost. An open quote
-    would swallow the rest of its file, so it is refused; ``strict=False`` reads it with a warning.
+    One scan of the raw lines folds every split of a file to a row (see ``records``) and finds what is left
+    open; a second one finds the width of the widest row, so that no field is lost. Blank lines are rows. A
+    quote that is never closed, or is followed by text after it closes, is refused; ``strict=False`` reads such
+    a file with a warning. With ``place`` the table has columns for the file, the record's number in it (the
+    header is 0) and its first line (from 1); ``ordered`` sorts by them. ``max_cell_chars`` bounds a cell.
     """
-    facts = probe_files(spark, path).agg(
-        F.count("*").alias("files"), F.count_if(F.col("length") > 0).alias("filled"),
-        F.count_distinct("encoding").alias("encodings"), F.max("encoding").alias("encoding"),
-        F.count_distinct("delimiter").alias("delimiters"), F.max("delimiter").alias("delimiter"),
-        F.count_distinct("first_line").alias("headers"), F.sum("open_lines").alias("open_lines"),
-        F.count_if((F.col("quotes") % 2 == 1) & (F.col("open_lines") > 0)).alias("unclosed"), F.sum("blank_lines").alias("blank_lines")).first()
-    if not facts["filled"]:
+    if sep is not None and sep not in DELIMITERS:
+        raise ValueError(f"the delimiter must be one of {DELIMITERS}")
+    if encoding is not None and encoding not in CHARSETS:
+        raise ValueError(f"the encoding must be one of {sorted(CHARSETS)}")
+    head, charset = _head(spark, path)
+    sep = sep or chosen_delimiter(head, True)
+    splits = written(placed_splits(fold_splits(raw_lines(spark, path, charset), [sep])), "splits")
+    marks = splits if charset is None else fold_splits(raw_lines(spark, path))
+    files = splits.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.max_by("ends_inside", "block").alias("unclosed"))
+    files = files.join(marks.where("block = 0").select("path", "charset"), "path")
+    facts = splits.agg(
+        F.max("header").alias("header"), F.count_distinct("header").alias("headers"), F.sum("open_lines").alias("open_lines"),
+        F.sum("odd_lines").alias("odd_lines"), F.sum("blanks").alias("blanks")).first()
+    kinds = files.agg(F.count_distinct(encoding_of(F.col("charset"), F.col("valid"))).alias("encodings"),
+                      F.max(encoding_of(F.col("charset"), F.col("valid"))).alias("encoding"), F.count_if("unclosed").alias("unclosed")).first()
+    if not facts["headers"]:
         raise ValueError("the table has no header; nothing was processed")
-    if facts["headers"] > 1 or (encoding is None and facts["encodings"] > 1):
+    if facts["headers"] > 1 or (encoding is None and kinds["encodings"] > 1):
         raise ValueError("the files differ in header or encoding; read them one by one")
-    encoding = encoding or facts["encoding"]
-    sep = sep or facts["delimiter"]
-    if sep not in DELIMITERS:
-        raise ValueError(f"the delimiter must be one of {DELIMITERS}")
-    if strict and facts["unclosed"]:
-        raise ValueError(f"{facts['unclosed']} files leave a quote open")
+    encoding = encoding or kinds["encoding"]
     if encoding == WINDOWS and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         raise ValueError("reading windows-1252 needs spark.sql.legacy.javaCharsets=true")
-    if multiline is None:
-        multiline = facts["open_lines"] > 0
-    multiline = multiline or encoding == UTF16
-
-    options = {"sep": sep, "encoding": CHARSETS[encoding], "multiLine": multiline, "quote": '"',
-               "escape": '"', "recursiveFileLookup": True, "mode": "PERMISSIVE", "maxCharsPerColumn": MAX_CELL_CHARS}
-    first = _csv(spark, path, None, False, options).first()
-    originals = ["" if v is None else v for v in (first or [])]
-    names = check_width(unique_names(originals))
+    warnings = [f"{n} {what}" for n, what in ((kinds["unclosed"], "files leave a quote open"),
+                                              (facts["odd_lines"], "lines have text after a closing quote")) if n]
+    if strict and warnings:
+        raise ValueError("; ".join(warnings))
 
-    narrow = _csv(spark, path, _text_schema([f"c{i}" for i in range(len(names))]), True, options)
-    found = narrow.agg(F.max(record_width(F.col(RAW), sep)), F.count("c0")).first()[0]
-    wide = widened_names(names, max(found or 0, len(names)))
+    text = bytes(facts["header"]).decode("utf-8" if charset else CHARSETS[encoding], "replace")
+    originals = next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
+    names = check_width(unique_names(originals))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": max_cell_chars,
+               "maxColumns": MAX_COLUMNS + 1}
+    whole_lines = not (facts["open_lines"] or facts["odd_lines"] or facts["blanks"] or charset or ordered or place)
+    if whole_lines:  # every line is a record, and Spark's reader leaves none out
+        reader = spark.read.options(**options, header=True, encoding=CHARSETS[encoding], recursiveFileLookup=True,
+                                    columnNameOfCorruptRecord=RAW, columnPruning=False)
+        narrow = reader.schema(_text_schema(["c0", RAW])).csv(path)
+        width = narrow.agg(F.max(record_width(F.col(RAW), sep)), F.count("c0")).first()[0]
+    else:
+        lines = raw_lines(spark, path, charset or (CHARSETS[encoding] if encoding == WINDOWS else None))
+        records = cut_records(lines, splits, sep).where("record > 0")
+        width = records.agg(F.max(record_width(F.col("text"), sep))).first()[0]
+    wide = widened_names(names, max(width or 0, len(names)))
     width_name = reserve(WIDTH, wide)
     slots = [f"c{i}" for i in range(len(wide))]
-    records = _csv(spark, path, _text_schema(slots), True, options)
-    if ordered:
-        records = in_file_order(records, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    data = records.select(
-        *[F.coalesce(slot, F.lit("")).alias(name) for slot, name in zip(slots, wide)],
-        F.coalesce(record_width(F.col(RAW), sep), F.lit(len(wide))).alias(width_name))
-    warnings = []
-    if facts["unclosed"]:
-        warnings.append(f"{facts['unclosed']} files leave a quote open")
-    if facts["blank_lines"] and multiline:
-        warnings.append("blank lines are not counted where cells hold line breaks")
-    elif facts["blank_lines"]:
-        data = data.unionByName(_blank_lines(spark, path, sep, wide, width_name))
-    return SourceTable(data, wide, originals, len(names), "csv", path, encoding, sep, width_name, warnings=warnings)
-
-
-def _blank_lines(spark: SparkSession, path: str, sep: str, names: Sequence[str], width_name: str) -> DataFrame:
-    """Rows for the lines the CSV reader leaves out: nothing but control characters and spaces."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).filter(is_skipped_line(F.col("value")))
-    fields = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(
-        F.split("value", "\\" + sep))
-    return table_of_fields(lines.select(fields.alias("fields")), "fields", names, len(names)).data.toDF(
-        *names, width_name)
+    places = dict(zip(PLACES, (reserve(p, wide) for p in PLACES))) if place else {}
+    if whole_lines:
+        cells, raw = reader.schema(_text_schema([*slots, RAW])).csv(path), F.col(RAW)
+        fields = [F.col(s) for s in slots]
+    else:
+        # A line of nothing but spaces is a record of its own, which Spark's parser would not see.
+        blank, raw = is_blank_line(F.col("text")), F.col("text")
+        split_ = F.split(raw, "\\" + sep)
+        cells = records.select("*", F.from_csv(raw, _text_schema(slots).simpleString().removeprefix("struct<").removesuffix(">")
+                                               .replace(":", " "), options).alias("cells"))
+        fields = [F.when(blank, F.get(split_, i)).otherwise(F.col("cells")[s]) for i, s in enumerate(slots)]
+        if ordered:
+            cells = cells.orderBy("path", "record")
+    own = F.when(raw == "", 0).otherwise(record_width(raw, sep))
+    data = cells.select(
+        *[F.coalesce(f, F.lit("")).alias(name) for f, name in zip(fields, wide)],
+        F.coalesce(own, F.lit(len(wide))).alias(width_name),
+        *[(F.col(p) + 1 if p == "line" else F.col(p)).alias(name) for p, name in places.items()])
+    return SourceTable(data, wide, originals, len(names), "csv", path, encoding, sep, width_name, warnings=warnings,
+                       place_columns=tuple(places.values()))
+
+
+def _head(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """The first lines of one file, 64 KiB at most, and its UTF-16 charset if it has one."""
+    line = F.substring(F.col("line").cast("binary"), 1, HEAD_BYTES).alias("line")
+    found = raw_lines(spark, path).where("block = 0").select("path", line).head(HEAD_LINES)
+    head = b"".join(bytes(r["line"]) for r in found if r["path"] == found[0]["path"])[:HEAD_BYTES]
+    return head_text(head), MARKS.get(head[:2])
 
 
 def in_file_order(df: DataFrame, *position: Column) -> DataFrame:
@@ -178,17 +190,16 @@ def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> Sourc
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
-               encoding: str | None = None, multiline: bool | None = None, strict: bool = True,
-               ordered: bool = False) -> SourceTable:
+               encoding: str | None = None, strict: bool = True, ordered: bool = False, place: bool = False) -> SourceTable:
     """CSV, TSV or Parquet, told apart by suffix unless ``fmt`` names the format.
 
     ``ordered`` sorts the rows of several files by path and place, for outputs that must keep that
-    order; within one file it is kept anyway.
+    order; within one file it is kept anyway. ``place`` adds the place of each row of delimited text.
     """
     if fmt is None:
         fmt = next((f for suffix, f in SUFFIX_FORMATS.items() if path.lower().endswith(suffix)), None)
     if fmt == "parquet":
         return read_parquet(spark, path, ordered)
     if fmt in ("csv", "tsv"):
-        return read_csv(spark, path, "\t" if fmt == "tsv" else sep, encoding, multiline, strict, ordered)
+        return read_csv(spark, path, "\t" if fmt == "tsv" else sep, encoding, strict, ordered, place)
     raise ValueError("the format must be csv, tsv or parquet")
