@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveframe.catalog.base import DIRTY_COLUMNS, D, dirty_orders, load, query
@@ -10,7 +10,7 @@ from sieveframe.catalog.cleaning import GUARDED, WITH_D
 from sieveframe.functions import cells as C
 from sieveframe.plans.clean import clean
 from sieveframe.session import scratch_folder
-from sieveframe.sinks.parts import LINE_END, assign_parts, header_line, part_files, write_parts, write_result
+from sieveframe.sinks.parts import LINE_END, assign_parts, csv_field, header_line, part_files, write_parts, write_result
 from sieveframe.sources.files import manifest, probe_files
 from sieveframe.sources.fragments import stack_fragments
 from sieveframe.sources.payloads import json_rows as rows_of_json
@@ -46,6 +46,77 @@ def multiline_round_trip(spark: SparkSession, folder: str) -> DataFrame:
                        "role", "text")
 
 
+def _headed_files(lines: DataFrame, header: str, order: list[str], purpose: str) -> str:
+    """Files of lines, in order from file to file, each under the header."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    line = F.when(first, F.concat(F.lit(header + "\n"), F.col("line"))).otherwise(F.col("line"))
+    path = scratch_folder(lines.sparkSession, purpose)
+    lines.orderBy(*order).select(line.alias("line")).write.text(path)
+    return path
+
+
+# Every tenth row is a blank line, some rows hold spaces only, some an empty cell alone.
+_BLANKS = """case when o_orderkey % 10 = 0 then '' when o_orderkey % 15 = 1 then '   '
+    else concat(cast(o_orderkey as {S}), ';', case when o_orderkey % 4 = 0 then '' else o_orderpriority end) end"""
+
+
+@query(f"""with l as (select row_number() over (order by o_orderkey) as "row", {_BLANKS.replace('{S}', 'varchar')} as line from orders)
+    select "row", case when contains(line, ';') then split_part(line, ';', 1) else line end as id,
+    case when contains(line, ';') then split_part(line, ';', 2) else '' end as priority from l""")
+def csv_blank_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Blank lines are rows, and stay where they are."""
+    lines = load(spark, folder, "orders").select("o_orderkey", F.expr(_BLANKS.replace("{S}", "string")).alias("line"))
+    table = read_table(spark, _headed_files(lines, "id;priority", ["o_orderkey"], "blank"), "csv", place=True)
+    return table.data.select("row", "id", "priority")
+
+
+@query("""select row_number() over (order by conv_id, turn) as "row", conv_id::varchar as conv, turn::varchar as turn, role, text,
+    cast(len(text) - len(replace(text, chr(10), '')) + 1 as bigint) as "lines" from conversations""")
+def csv_row_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of several files with line breaks inside cells, by their place; lines count up from record to record."""
+    cells = load(spark, folder, "conversations").select("conv_id", "turn", F.concat_ws(
+        ",", "conv_id", "turn", csv_field(F.col("role"), ","), csv_field(F.col("text"), ",")).alias("line"))
+    table = read_table(spark, _headed_files(cells, "conv,turn,role,text", ["conv_id", "turn"], "order"), "csv", place=True)
+    own = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    after = F.lead("line").over(Window.partitionBy("path").orderBy("record"))
+    return table.data.select("row", "conv", "turn", "role", "text", F.coalesce(after - F.col("line"), own).cast("bigint").alias("lines"))
+
+
+# Quotes that are text, and cells with line breaks, delimiters and doubled quotes.
+_QUOTES = """case o_orderkey % 5 when 0 then concat(o_orderstatus, '" pipe') when 1 then concat('5" and "', o_orderpriority)
+    when 2 then concat('"', o_orderpriority, {NL}, '""a"";b', {NL}, ',x"') when 3 then '""' else o_orderpriority end"""
+_QUOTED = """case o_orderkey % 5 when 2 then concat(o_orderpriority, chr(10), '"a";b', chr(10), ',x') when 3 then ''
+    when 0 then concat(o_orderstatus, '" pipe') when 1 then concat('5" and "', o_orderpriority) else o_orderpriority end"""
+
+
+@query(f"""select row_number() over (order by o_orderkey) as "row", o_orderkey::varchar as id, {_QUOTED} as note, 'z"' as tail from orders""")
+def csv_literal_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """A quote inside a field that does not begin with one is text; others hold line breaks and delimiters."""
+    orders = load(spark, folder, "orders")
+    note = F.expr(_QUOTES.replace("{NL}", "chr(10)"))
+    lines = orders.select("o_orderkey", F.concat_ws(";", F.col("o_orderkey").cast("string"), note, F.lit('z"')).alias("line"))
+    table = read_table(spark, _headed_files(lines, "id;note;tail", ["o_orderkey"], "literal"), "csv", place=True)
+    return table.data.select("row", "id", "note", "tail")
+
+
+_HEADERS = [("|", '"a;b;c;d, e"|total'), (";", "Value, $;Name, short, long"), (",", 'x|y,"p;q;r"'), ("\t", '"one, two, three"\tfour|five')]
+
+
+@query(f"""select distinct doc_id % 4 as kind, case doc_id % 4 {" ".join(
+    f"when {k} then {'chr(9)' if d == chr(9) else repr(d)}" for k, (d, _) in enumerate(_HEADERS))} end as delimiter from documents""")
+def csv_delimiters(spark: SparkSession, folder: str) -> DataFrame:
+    """Delimiters of files whose headers hold other candidates more often, inside quotes and outside."""
+    root = scratch_folder(spark, "delimiters")
+    documents = load(spark, folder, "documents")
+    for kind, (mark, header) in enumerate(_HEADERS):
+        lines = documents.where(F.col("doc_id") % 4 == kind).select("doc_id", F.concat_ws(mark, "doc_id", "source").alias("line"))
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines.select(F.when(first, F.concat(F.lit(header + "\n"), F.col("line"))).otherwise(F.col("line")).alias("line")) \
+            .write.text(f"{root}/kind={kind}")
+    found = probe_files(spark, root).where(F.col("length") > 0)
+    return found.select(F.regexp_extract("path", "kind=([0-9])", 1).cast("bigint").alias("kind"), "delimiter").distinct()
+
+
 _LINE = "concat_ws(',', " + ", ".join(
     f"case when contains({c}, ',') then '\"' || {c} || '\"' else {c} end" for c in DIRTY_COLUMNS) + ")"
 

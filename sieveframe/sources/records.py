@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -61,9 +62,9 @@ def quoted_field(delimiter: str) -> str:
 def line_code(line: Column, delimiter: str) -> Column:
     """What a line without its end does to the state, as bits."""
     def ends(text: Column, end: int, odd: int) -> Column:
-        left = F.regexp_replace(text, quoted_field(delimiter) + '"', "$1\n")  # closed fields become a line break
-        return F.when(left.rlike(f'(^|[{_mark(delimiter)}])"'), end).otherwise(0) \
-            + F.when(left.rlike(f"\n[^{_mark(delimiter)}\n]"), odd).otherwise(0)
+        # A line break and the closing quote, if there is one, stand for each quoted field.
+        left = F.regexp_replace(text, quoted_field(delimiter) + '("?)', "$1\n$2")
+        return F.when(left.endswith("\n"), end).otherwise(0) + F.when(left.rlike(f'\n"[^{_mark(delimiter)}]'), odd).otherwise(0)
 
     code = ends(line, ENDS_OUT, ODD_OUT) + ends(F.concat(F.lit('"'), line), ENDS_IN, ODD_IN)
     return F.when(F.contains(line, F.lit('"')), code).otherwise(PLAIN)
@@ -86,11 +87,12 @@ def raw_lines(spark: SparkSession, path: str, charset: str | None = None) -> Dat
     value = F.col("value") if charset is None else F.decode(F.col("value").cast("binary"), charset)
     at_start = F.col("_metadata.file_block_start") == 0
     ended = F.concat(F.when(at_start & F.startswith(value, F.lit("\ufeff")), F.substring(value, 2, 1 << 30)).otherwise(value), F.lit("\n"))
-    several = F.split(ended, "(?<=\r(?!\n)|\n)(?!$)")
+    several = F.split(ended, "(?<=\r)(?!\n)")
+    lone = F.contains(ended, F.lit("\r")) & ended.rlike("\r(?!\n)")
     return (reader.option("encoding", charset) if wide else reader).text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.explode(F.when(F.contains(F.rtrim(ended, F.lit("\r\n")), F.lit("\r")), several).otherwise(F.array(ended))).alias("line"))
+        F.explode(F.when(lone, several).otherwise(F.array(ended))).alias("line"))
 
 
 def _end_cut(line: Column) -> Column:
@@ -117,18 +119,21 @@ def field_counts(head: str, delimiter: str, cut: bool) -> list[int]:
     return [w for w in (widths[:-1] if cut and len(widths) > 1 else widths) if w]
 
 
-def consistency(widths: Sequence[int]) -> tuple[float, int]:
-    """The largest share of records with the same number of fields, two at least, and that number."""
-    counts = Counter(widths)
-    return max(((n / len(widths), w) for w, n in counts.items() if w > 1), default=(0.0, 0))
+def consistency(head: str, delimiter: str, cut: bool) -> tuple[float, int, int]:
+    """The largest share of records with the same number of fields, two at least; quoted fields; that number."""
+    widths = field_counts(head, delimiter, cut)
+    share, width = max(((n / len(widths), w) for w, n in Counter(widths).items() if w > 1), default=(0.0, 0))
+    mark = re.escape(delimiter)
+    return share, len(re.findall(f'(?:^|{mark})"(?:[^"]|"")*+"(?=[\r\n{mark}]|\\Z)', head, re.MULTILINE)), width
 
 
 def chosen_delimiter(head: str, cut: bool) -> str:
-    """The candidate that cuts most records of a file's head alike, then the one with more fields, then the earlier.
+    """The candidate that cuts most records of a file's head alike.
 
-    If none cuts any record, the one seen most often in the first line.
+    Of several the one with more quoted fields, then with more fields, then the earlier; if none cuts any
+    record, the one seen most often in the first line.
     """
-    found = [consistency(field_counts(head, d, cut)) for d in DELIMITERS]
+    found = [consistency(head, d, cut) for d in DELIMITERS]
     best = max(range(len(found)), key=lambda k: (found[k], -k))
     if found[best][0] > 0:
         return DELIMITERS[best]
@@ -279,6 +284,13 @@ def placed_splits(splits: DataFrame, candidate: int | Column = 0) -> DataFrame:
     return counted.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "records")])
 
 
+def rows_before(splits: DataFrame) -> DataFrame:
+    """``path, rows_before``: the records after their header of all files before, by path. One row for each file."""
+    files = splits.groupBy("path").agg((F.sum("records") - 1).alias("rows"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("path", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records in the order of their lines; what is held is the one record that is open."""
     key, pending, begun, kind = None, [], (0, 0), WHOLE

@@ -15,8 +15,8 @@ from sieveframe.functions.cells import column, stringify
 from sieveframe.functions.names import MAX_COLUMNS, check_width, reserve, unique_names, widened_names
 from sieveframe.session import written
 from sieveframe.sources.files import encoding_of
-from sieveframe.sources.records import (DELIMITERS, HEAD_BYTES, MARKS, UTF8, UTF16, WINDOWS, chosen_delimiter, cut_records,
-                                        fold_splits, head_text, is_blank_line, placed_splits, raw_lines, record_width)
+from sieveframe.sources.records import (DELIMITERS, HEAD_BYTES, MARKS, SENT_SPLITS, UTF8, UTF16, WINDOWS, chosen_delimiter, cut_records,
+                                        fold_splits, head_text, is_blank_line, placed_splits, raw_lines, record_width, rows_before)
 
 # Fixed values.
 CHARSETS = {UTF8: "UTF-8", UTF16: "UTF-16", WINDOWS: "windows-1252"}
@@ -25,7 +25,7 @@ SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet"}
 FREE_TEXT = (T.StringType, T.CharType, T.VarcharType, T.BinaryType)
 
 HEAD_LINES = 1000
-PLACES = ("path", "record", "line")  # where a row of a delimited file comes from
+PLACES = ("path", "record", "line", "row")  # where a row of a delimited file comes from
 WIDTH = "_width"  # fields in the source row, kept beside the cells of ragged formats
 RAW = "_raw"
 
@@ -98,7 +98,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     open; a second one finds the width of the widest row, so that no field is lost. Blank lines are rows. A
     quote that is never closed, or is followed by text after it closes, is refused; ``strict=False`` reads such
     a file with a warning. With ``place`` the table has columns for the file, the record's number in it (the
-    header is 0) and its first line (from 1); ``ordered`` sorts by them. ``max_cell_chars`` bounds a cell.
+    header is 0), its first line (from 1) and the row's number in all files by path (from 1), which come from
+    sums over splits and files; ``ordered`` sorts by them. ``max_cell_chars`` bounds a cell.
     """
     if sep is not None and sep not in DELIMITERS:
         raise ValueError(f"the delimiter must be one of {DELIMITERS}")
@@ -141,6 +142,10 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     else:
         lines = raw_lines(spark, path, charset or (CHARSETS[encoding] if encoding == WINDOWS else None))
         records = cut_records(lines, splits, sep).where("record > 0")
+        if place:
+            before = rows_before(splits)
+            records = records.join(F.broadcast(before) if before.count() <= SENT_SPLITS else before, "path") \
+                .withColumn("row", F.col("rows_before") + F.col("record"))
         width = records.agg(F.max(record_width(F.col("text"), sep))).first()[0]
     wide = widened_names(names, max(width or 0, len(names)))
     width_name = reserve(WIDTH, wide)
