@@ -2,7 +2,7 @@
 
 A Regex Split over the ASCII-lowered text returns words with their offsets. Pairs of offsets, one for the
 first and one for the last word of a run, cut the features out of the words joined by spaces; CRC-32 deals
-them into buckets. Tasks add up one histogram each, so that a corpus leaves one number for each bucket. A
+them into buckets, which are counted inside the tasks before the shuffle. A
 bucket's gain says how much likelier the target is to fill it; a document's weight is the floored mean of
 its gains, and with seeded Gumbel noise the highest scores are a draw without replacement.
 
@@ -36,7 +36,6 @@ SEED = 2024
 CACHED = 1 << 18  # features whose buckets a task remembers
 
 FEATURES = "doc_id long, digest binary, n_words long, buckets array<int>"
-WEIGHTS = "doc_id long, digest binary, n_words long, n_features long, weight long"
 
 
 @cache
@@ -92,21 +91,11 @@ def _features(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Ite
                 ["doc_id", "digest", "n_words", "buckets"])
 
 
-def _histogram(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """One histogram for all rows of a task."""
-    total = np.zeros(size, np.int64)
-    for batch in batches:
-        total += np.bincount(batch.column("buckets").flatten().to_numpy(), minlength=size)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-
-
 def histogram(rows: DataFrame, size: int) -> np.ndarray:
     """How many features of ``rows(buckets)`` each bucket holds."""
-    sums = rows.select("buckets").mapInArrow(partial(_histogram, size=size), "bucket long, n long") \
-        .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # one row a bucket
     total = np.zeros(size, np.int64)
-    total[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    for row in rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().collect():  # one row a bucket
+        total[row["bucket"]] = row["count"]
     return total
 
 
@@ -117,15 +106,13 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
                      for a, b in zip(raw.tolist(), target.tolist())], np.int64)
 
 
-def _weights(batches: Iterator[pa.RecordBatch], gain: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("buckets")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        sums = np.append(0, np.cumsum(gain[lists.values.to_numpy()]))
-        n = np.diff(offsets)
-        weight = (sums[offsets[1:]] - sums[offsets[:-1]]) // np.maximum(n, 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(weight)],
-                                         ["doc_id", "digest", "n_words", "n_features", "weight"])
+def weighed(rows: DataFrame, gain: np.ndarray) -> DataFrame:
+    """``doc_id, digest, n_words, n_features, weight``: the floored mean of the gains of a row's buckets."""
+    table = F.split(F.lit(",".join(map(str, gain.tolist()))), ",").cast("array<long>")  # folded to a constant
+    total = F.aggregate("buckets", F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+    n = F.size("buckets").cast("long")
+    return rows.select("doc_id", "digest", "n_words", n.alias("n_features"),
+                       F.floor(total / F.greatest(n, F.lit(1))).alias("weight"))
 
 
 def bucketed(docs: DataFrame, longest: int, size: int) -> DataFrame:
@@ -175,8 +162,7 @@ def resampling(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least
     """
     known = stored(bucketed(docs, longest, buckets), "buckets")
     gain = gains(histogram(known, buckets), histogram(bucketed(target, longest, buckets), buckets))
-    scored = stored(known.mapInArrow(partial(_weights, gain=gain), WEIGHTS)
-                    .withColumn("score", F.col("weight") + noise(seed)), "scores")
+    scored = stored(weighed(known, gain).withColumn("score", F.col("weight") + noise(seed)), "scores")
     fit = F.col("n_words") >= least_words
     wanted = scored.where(fit).count() * percent // 100
     columns = ["doc_id", "n_features", "weight", "score", "rank", "digest"]
