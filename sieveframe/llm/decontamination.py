@@ -3,7 +3,8 @@
 Built-in functions only. Texts become words; every run of ``SIZE`` words of a benchmark item is an entry of
 the set (an item of fewer words is one entry of its own length). Documents are cut into blocks of words, a
 block into windows, and each window is looked up in the set by its words themselves, so that a hit of the
-hash table is verified by comparison in the same step. Only hits and one mark for each document leave the
+hash table is verified by comparison in the same step. Only windows that start with two words with which an
+entry of a broadcast set may start, by a bitmap of their hashes, are spelled out and looked up. Only hits and one mark for each document leave the
 task: the shuffle holds no text. The set is broadcast when its bytes are within ``BROADCAST_BYTES``; a larger
 one is joined by shuffle.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sieveframe.llm.tables import fresh, stored
@@ -20,11 +21,11 @@ from sieveframe.llm.tables import fresh, stored
 SIZE = 10
 BLOCK = 1024  # window starts that are spelled out at a time
 BROADCAST_BYTES = 64 << 20
+MOST_SLOTS = 1 << 20
 PER_ENTRY = 64  # bytes that an entry takes besides its words
 
-LOW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+LOW_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words of a lowered text
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # the same of any text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["doc_id", "digest"]
 
@@ -33,20 +34,36 @@ def words_of(text: Column) -> Column:
     """Words of the text with A-Z lower-cased; a null text has none."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lowered, F.lit(LOW_WORD), F.lit(0))
+    # Not regexp_extract_all, which copies the text for each word.
+    return F.array_remove(F.split(lowered, LOW_BETWEEN), "")
 
 
 def digest_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def runs(words: Column, length: int, most: Column, before: Column) -> Column:
-    """The first ``most`` runs of ``length`` words, with the number of the word that each starts at."""
+NO_RUNS = "array<struct<at:int,length:int,window:string>>"
+
+
+def start_slot(words: Column, i: Column, length: int, slots: int) -> Column:
+    """The slot of a run by how it starts: its first two words, or its only one."""
+    first = [F.try_element_at(words, i), *([F.try_element_at(words, i + 1)] if length > 1 else [])]
+    return F.pmod(F.xxhash64(*first), F.lit(slots)).cast("int") + 1
+
+
+def runs(words: Column, length: int, most: Column, before: Column, starts: bytes | None = None) -> Column:
+    """The first ``most`` runs of ``length`` words, with the number of the word that each starts at.
+
+    With ``starts`` only runs whose slot is marked there are spelled out.
+    """
     n = F.least(F.size(words) - length + 1, most)
-    found = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+    places = F.sequence(F.lit(1), n)
+    if starts is not None:
+        places = F.filter(places, lambda i: F.substring(F.lit(starts), start_slot(words, i, length, len(starts)), F.lit(1)) == F.lit(b"\x01"))
+    found = F.transform(places, lambda i: F.struct(
         (before + i - 1).alias("at"), F.lit(length).alias("length"),
         F.array_join(F.slice(words, i, length), " ").alias("window")))
-    return F.when(n > 0, found).otherwise(F.array().cast("array<struct<at:int,length:int,window:string>>"))
+    return F.when(n > 0, found).otherwise(F.array().cast(NO_RUNS))
 
 
 @dataclass
@@ -59,6 +76,7 @@ class TestSet:
     origins: DataFrame
     lengths: list[int]
     small: bool
+    starts: bytes | None  # slots in which an entry starts; none for a set that is not small
 
     def sent(self, side: DataFrame) -> DataFrame:
         return F.broadcast(side) if self.small else side
@@ -77,7 +95,18 @@ def test_set(benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROA
                         F.sort_array(F.collect_set("length")).alias("lengths")).first()  # at most ``size`` lengths
     origins = stored(pairs.where("item_id is not null").join(entries, ["window", "length"]).select("entry", "item_id"), "test-items")
     small = (facts["bytes"] or 0) + PER_ENTRY * max(facts["n"], origins.count()) <= broadcast_bytes
-    return TestSet(entries.select("entry", "window"), origins, facts["lengths"], small)
+    return TestSet(entries.select("entry", "window"), origins, facts["lengths"], small, _starts(entries, facts) if small else None)
+
+
+def _starts(entries: DataFrame, facts: Row) -> bytes:
+    """A byte for each slot; there are ``MOST_SLOTS`` at most, and no more of them marked than there are entries."""
+    marks = bytearray(min(MOST_SLOTS, 1 << (16 * facts["n"] + 1).bit_length()))
+    words = F.split("window", " ")
+    for length in facts["lengths"]:
+        slot = start_slot(words, F.lit(1), length, len(marks)).alias("slot")
+        for row in entries.where(F.col("length") == length).select(slot).distinct().collect():
+            marks[row["slot"] - 1] = 1
+    return bytes(marks)
 
 
 test_set.__test__ = False
@@ -93,8 +122,8 @@ def matched(docs: DataFrame, tests: TestSet) -> DataFrame:
     # The mark stands for the document, whether anything is hit or not; no window starts with a space.
     mark = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.concat(F.lit(" "), F.hex("digest")).alias("window")))
     first = F.coalesce(F.col("block.before"), F.lit(0)) == 0
-    none = F.array().cast("array<struct<at:int,length:int,window:string>>")
-    every = [runs(F.col("block.words"), n, F.lit(BLOCK), F.col("block.before")) for n in tests.lengths]
+    none = F.array().cast(NO_RUNS)
+    every = [runs(F.col("block.words"), n, F.lit(BLOCK), F.col("block.before"), tests.starts) for n in tests.lengths]
     every = [F.when(F.col("block").isNotNull(), e).otherwise(none) for e in every]
     windows = blocks.select(*KEY, "n_words", F.explode(F.concat(F.when(first, mark).otherwise(none), *every)).alias("w")) \
         .select(*KEY, "n_words", "w.at", "w.length", "w.window")
@@ -139,9 +168,9 @@ def without_words(text: Column, hit: Column, n_words: Column) -> Column:
     """The text without the words numbered in ``hit`` (ascending, from 0) and what separates each from the next."""
     starts = F.filter(hit, lambda x, i: F.coalesce(F.get(hit, i - 1), F.lit(-2)) != x - 1)
     ends = F.transform(F.filter(hit, lambda x, i: F.coalesce(F.get(hit, i + 1), F.lit(-2)) != x + 1), lambda x: x + 1)
-    pieces = F.regexp_extract_all(text, F.lit(f"{ANY_WORD}{BETWEEN}"), F.lit(0))
+    pieces = F.split(F.regexp_replace(text, f"^{BETWEEN}+", ""), f"(?<={BETWEEN})(?!{BETWEEN})")  # words, each with what follows
     kept = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("low"), F.concat(starts, F.array(n_words)).alias("high"))
-    return F.concat(F.regexp_extract(text, f"^{BETWEEN}", 0), F.array_join(F.transform(kept, lambda r: F.array_join(
+    return F.concat(F.regexp_extract(text, f"^{BETWEEN}*", 0), F.array_join(F.transform(kept, lambda r: F.array_join(
         F.slice(pieces, r["low"] + 1, r["high"] - r["low"]), "")), ""))
 
 
