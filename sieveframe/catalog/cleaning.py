@@ -14,9 +14,11 @@ from sieveframe.operators.profile import (
     SUMMARY_COLUMNS, cell_facts, column_stats, fold_facts, invalid_dates as total_invalid_dates, missing_report as missing_of,
     mixed_type_columns as mixed_of, profile)
 from sieveframe.operators.rows import duplicate_count as count_duplicates, first_copies
+from sieveframe.operators.totals import exact_totals
 from sieveframe.plans.clean import clean, reconcile as reconciled
 from sieveframe.plans.questions import asked_column as column_asked, duplicates_found, missing_cells, table_size
 from sieveframe.session import scratch_folder
+from sieveframe.sinks.parts import write_result
 from sieveframe.sources.tables import as_table
 
 CELLS = ", ".join(DIRTY_COLUMNS)
@@ -307,6 +309,35 @@ def run_report(spark: SparkSession, folder: str) -> DataFrame:
     return flat_report(clean(dirty_orders(spark, folder), "tidy").report)
 
 
+@query(f"""select rows_read, empty_rows_found, rows_evaluated, rows_exported, trimmed, formula_guarded, punctuation,
+    ignored_conversions, cast(0 as bigint) as irregular_rows from ({TIDY_REPORT}) r""")
+def observed_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of a run as they come with its write."""
+    counters = write_result(clean(dirty_orders(spark, folder), "tidy"), scratch_folder(spark, "observed"))
+    return spark.createDataFrame([counters], ", ".join(f"{name} long" for name in counters))
+
+
+# Totals beyond any decimal type: keys far to the left, with both signs, and far to the right of the point.
+_HUGE = """select concat(cast(o_orderkey as {S}), repeat('0', 38)) as huge,
+    concat(case when o_orderkey % 2 = 0 then '-' else '+' end, cast(o_orderkey as {S}), 'e40') as signed,
+    concat(cast(cast(o_totalprice as decimal(18,2)) as {S}), 'E-12') as tiny,
+    case when o_orderkey % 3 = 0 then 'n/a' else cast(o_custkey as {S}) end as plain from {orders}"""
+
+
+@query(f"""with h as ({_HUGE.replace('{S}', 'varchar').replace('{orders}', 'orders')}), t as (
+    select 0 as position, 'huge' as "column", count(*) filter (o_orderkey <> 0) as numeric, cast(sum(o_orderkey) as varchar) || repeat('0', 38) as total from orders
+    union all select 1, 'signed', count(*), cast(sum(case when o_orderkey % 2 = 0 then -o_orderkey else o_orderkey end) as varchar)
+      || repeat('0', 40) from orders
+    union all select 2, 'tiny', count(*), cast(sum(cents) // 100000000000000 as varchar) || '.'
+      || rtrim(lpad(cast(sum(cents) % 100000000000000 as varchar), 14, '0'), '0')
+      from (select cast(cast(o_totalprice as decimal(18,2)) * 100 as hugeint) as cents from orders)
+    union all select 3, 'plain', count(*) filter (plain <> 'n/a'), cast(sum(try_cast(plain as bigint)) as varchar) from h)
+    select "column", position, cast(numeric as bigint) as numeric, total from t""")
+def profile_huge_totals(spark: SparkSession, folder: str) -> DataFrame:
+    orders = load(spark, folder, "orders")
+    return exact_totals(spark.sql(_HUGE.replace("{S}", "string"), orders=orders))
+
+
 @query(f"select rows_read, rows_exported, empty_rows_removed, duplicates_removed, true as reconciled "
        f"from ({Q.report_sql('tidy', trim=True, drop_empty=True, dedup=True, guard_cells=True)}) r")
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,18 +26,25 @@ DOUBLES = ["min_double", "max_double", "sum_double", "mean_double"]
 
 
 def cell_facts(df: DataFrame, names: Sequence[str], weight: Column | None = None,
-               row_sums: dict[str, Column] | None = None, cell_sums: dict[str, object] | None = None) -> DataFrame:
+               row_sums: dict[str, Column] | None = None, cell_sums: dict[str, object] | None = None,
+               dropped: Column | None = None) -> DataFrame:
     """One row per ``(position, class)`` with counts and numeric statistics of its cells.
 
     ``weight`` is the number of copies a row stands for. ``row_sums`` are totalled once per row (at
-    position 0), ``cell_sums`` are functions of a cell and are weighted like it.
+    position 0), ``cell_sums`` are functions of a cell and are weighted like it. Rows that are ``dropped``,
+    which must be blank, only enter the ``row_sums``; they go with ``weight`` unset.
     """
     row_sums, cell_sums = row_sums or {}, cell_sums or {}
     carried = [value.alias(f"row_{name}") for name, value in row_sums.items()]
     if weight is not None:
         carried.append(weight.alias("weight"))
-    unpivoted = df.select(*carried, F.posexplode(F.array(*[C.column(n) for n in names])).alias("position", "raw"))
-    kept = [F.col(f"row_{name}") for name in row_sums] + ([F.col("weight")] if weight is not None else [])
+    cells = F.array(*[C.column(n) for n in names])
+    if dropped is not None:
+        carried.append(dropped.alias("dropped"))
+        cells = F.when(dropped, F.array(F.lit(""))).otherwise(cells)
+    unpivoted = df.select(*carried, F.posexplode(cells).alias("position", "raw"))
+    kept = [F.col(f"row_{name}") for name in row_sums] + ([F.col("weight")] if weight is not None else []) \
+        + ([F.col("dropped")] if dropped is not None else [])
     value = unpivoted.select(*kept, "position", "raw", C.blank_to_empty(F.col("raw")).alias("cell"))
     read = value.select(*kept, "position", "raw", "cell", C.exact_number(F.col("cell")).alias("exact"))
     numbers = read.select(*kept, "position", "raw", "cell", "exact",
@@ -70,7 +77,7 @@ def cell_facts(df: DataFrame, names: Sequence[str], weight: Column | None = None
              F.max(F.when(counted, other)).alias("max_other"),
              F.sum(F.coalesce(exact.cast("double"), other) * copies).alias("sum_double")]
     return numbers.groupBy("position", "class").agg(
-        total().alias("cells"),
+        total(None if dropped is None else ~F.col("dropped")).alias("cells"),
         total((F.col("class") == C.TEXT) & C.is_comma_number(F.col("cell"))).alias("comma_number"),
         total(numeric & below_zero).alias("negative"),
         total(numeric & exact.isNull()).alias("number_inexact"),

@@ -6,14 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sieveframe.functions import cells as C
 from sieveframe.functions.names import unique_names
 from sieveframe.functions.text import COMMAND_OPERATIONS, DIRECTION_NAMES
 from sieveframe.operators.profile import DOUBLES, MEASURES, cell_facts, fold_facts
-from sieveframe.operators.rows import exact_dedup, row_is_blank
+from sieveframe.operators.rows import duplicate_count, exact_dedup, row_is_blank
 from sieveframe.sources.files import DELIMITERS
 from sieveframe.sources.tables import SourceTable, as_table
 
@@ -47,20 +47,22 @@ OPERATIONS = {
 
 
 class CleanResult:
-    """``data`` is a narrow plan (one shuffle if it removes copies); ``report`` is one aggregation.
+    """``data`` is a narrow plan (one shuffle if it removes copies); ``report`` is one row.
 
     ``data`` carries unique names; ``output_names`` are those of the written header, which may repeat.
-    ``report`` is one row and holds the profile too, so that a single job yields both; it shuffles whole
-    rows to count copies. ``profile`` alone does not, unless copies are removed. Both are planned when
-    first asked for.
+    ``report`` holds the profile too, from one pass over the cells, and counts copies by fingerprints of the
+    rows; whole rows are shuffled only to remove copies. ``profile`` is that pass alone. Both are planned when
+    first asked for. ``observed`` is ``data`` with counters that come with whatever reads it.
     """
 
     def __init__(self, data: DataFrame, output_names: list[str], make_report: Callable[[], DataFrame],
                  delimiter: str, writes: bool, header_map: list[tuple[int, str, str]],
-                 make_profile: Callable[[], DataFrame] | None = None) -> None:
+                 make_profile: Callable[[], DataFrame] | None = None,
+                 make_observed: Callable[[], tuple[DataFrame, Observation]] | None = None,
+                 removes_copies: bool = False) -> None:
         self.data, self.output_names, self.delimiter = data, output_names, delimiter
-        self.writes, self.header_map = writes, header_map
-        self._make_report, self._make_profile = make_report, make_profile
+        self.writes, self.header_map, self.removes_copies = writes, header_map, removes_copies
+        self._make_report, self._make_profile, self._make_observed = make_report, make_profile, make_observed
 
     @cached_property
     def report(self) -> DataFrame:
@@ -74,6 +76,20 @@ class CleanResult:
         return self._make_profile()
 
 
+    def observed(self) -> tuple[DataFrame, Observation]:
+        """``data`` once more, and an observation that holds its ``COUNTERS`` after the first action on it.
+
+        Tasks that are run again, after executors were lost, count again; see ``write_result``.
+        """
+        if self._make_observed is None:
+            raise ValueError("this result has no counters")
+        return self._make_observed()
+
+
+COUNTERS = ["rows_read", "empty_rows_found", "rows_evaluated", "irregular_rows", "trimmed", "punctuation", "ignored_conversions",
+            "formula_guarded"]
+
+
 def resolve(operation: str) -> str:
     name = COMMAND_OPERATIONS.get(operation, operation)
     if name not in OPERATIONS:
@@ -148,12 +164,13 @@ def clean(source: SourceTable | DataFrame, operation: str = "tidy", *, deduplica
 
     steps = row_steps(table, op, column, direction)
     blank = row_is_blank(names)
-    data = steps.filter(~blank) if op.drop_empty else steps
-    data = data.select(*[C.column(n) for n in names])
-    if dedup:
-        data = exact_dedup(data)
-    if op.guard:
-        data = data.select(*[C.guard(C.column(n)).alias(n) for n in names])
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        data = rows.filter(~blank) if op.drop_empty else rows
+        data = data.select(*[C.column(n) for n in names])
+        if dedup:
+            data = exact_dedup(data)
+        return data.select(*[C.guard(C.column(n)).alias(n) for n in names]) if op.guard else data
 
     mapping = header_map(table.originals, targets)
     changed_headers = sum(a != b for a, b in zip(table.originals, names)) if op.rename else 0
@@ -162,30 +179,58 @@ def clean(source: SourceTable | DataFrame, operation: str = "tidy", *, deduplica
     def make_report() -> DataFrame:
         return _report(table, steps, name, op, dedup, blank, options, out_delimiter, changed_headers)
 
+    def make_observed() -> tuple[DataFrame, Observation]:
+        counted = Observation()
+        return cleaned(steps.observe(counted, *_counters(steps, op, blank, names))), counted
+
     def make_profile() -> DataFrame:
         kept = steps.filter(~blank) if op.drop_empty else steps
         return fold_facts(cell_facts(kept, names), names).select("column", "position", *MEASURES, *DOUBLES)
 
-    return CleanResult(data, targets, make_report, out_delimiter, op.writes, mapping, None if dedup else make_profile)
+    return CleanResult(cleaned(steps), targets, make_report, out_delimiter, op.writes, mapping, None if dedup else make_profile,
+                       make_observed, dedup)
+
+
+def _counters(steps: DataFrame, op: Operation, blank: Column, names: list[str]) -> list[Column]:
+    """The ``COUNTERS`` as aggregates over the rows of ``steps``, before copies are removed."""
+    kept = ~blank if op.drop_empty else F.lit(True)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kept, value).otherwise(0).cast("bigint")), F.lit(0))
+
+    guards = [F.when(C.needs_guard(C.column(n)), 1).otherwise(0) for n in names] if op.guard else []
+    values = [F.count(F.lit(1)), F.count_if(blank), total(F.lit(1)), total(F.col("_irregular")), total(F.col("_trimmed")),
+              total(F.col("_converted")), total(F.col("_ignored")), total(sum(guards, F.lit(0)))]
+    return [value.alias(name) for name, value in zip(COUNTERS, values)]
 
 
 def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedup: bool, blank: Column,
             options: dict[str, str], delimiter: str, changed_headers: int) -> DataFrame:
-    """Counters and profile in one pass: copies are folded first, then every distinct row is weighed."""
+    """Counters and profile in one pass over the cells; copies are counted by fingerprints of the rows.
+
+    With copies removed, they are folded first and every distinct row is weighed.
+    """
     counters = ["_trimmed", "_converted", "_ignored", "_irregular"]
-    distinct = steps.groupBy(*[C.column(n) for n in table.names]).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in counters])
-    distinct = distinct.withColumn("_blank", blank)
-    kept = ~F.col("_blank") if op.drop_empty else F.lit(True)
-    weight = F.when(kept, F.lit(1) if dedup else F.col("_n")).otherwise(0).cast("bigint")
-    rows = {
-        "read": F.col("_n"), "evaluated": weight,
-        "empty": F.when(F.col("_blank"), F.col("_n")).otherwise(0),
-        "duplicates": F.when(kept, F.col("_n") - 1).otherwise(0),
-        **{c.strip("_"): F.when(kept, F.col(c)).otherwise(0) for c in counters},
-    }
     guarded = {"guarded": C.needs_guard} if op.guard else {}
-    facts = cell_facts(distinct, table.names, weight, rows, guarded)
+    if dedup:
+        distinct = steps.groupBy(*[C.column(n) for n in table.names]).agg(
+            F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in counters])
+        distinct = distinct.withColumn("_blank", blank)
+        kept = ~F.col("_blank") if op.drop_empty else F.lit(True)
+        weight = F.when(kept, F.lit(1)).otherwise(0).cast("bigint")
+        rows = {
+            "read": F.col("_n"), "evaluated": weight,
+            "empty": F.when(F.col("_blank"), F.col("_n")).otherwise(0),
+            "duplicates": F.when(kept, F.col("_n") - 1).otherwise(0),
+            **{c.strip("_"): F.when(kept, F.col(c)).otherwise(0) for c in counters},
+        }
+        facts = cell_facts(distinct, table.names, weight, rows, guarded)
+    else:
+        marked = steps.withColumn("_blank", blank)
+        kept = ~F.col("_blank") if op.drop_empty else F.lit(True)
+        rows = {"read": F.lit(1), "evaluated": F.when(kept, 1).otherwise(0), "empty": F.when(F.col("_blank"), 1).otherwise(0),
+                **{c.strip("_"): F.when(kept, F.col(c)).otherwise(0) for c in counters}}
+        facts = cell_facts(marked, table.names, None, rows, guarded, F.col("_blank") if op.drop_empty else None)
     sums = [*[f"row_{r}" for r in rows], *[f"cell_{g}" for g in guarded]]
     folded = fold_facts(facts, table.names, sums)
 
@@ -193,6 +238,10 @@ def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedu
         *[F.sum(s).alias(s) for s in sums], F.sum("invalid_date").alias("invalid_dates"),
         F.array_sort(F.collect_list(F.struct("column", "position", *MEASURES, *DOUBLES)),
                      lambda a, b: a["position"] - b["position"]).alias("profile"))
+    if not dedup:
+        copies = duplicate_count(steps.filter(~blank) if op.drop_empty else steps, table.names)
+        totals = totals.withColumn("_one", F.lit(1)).join(
+            copies.select(F.col("duplicates").alias("row_duplicates"), F.lit(1).alias("_one")), "_one")
     guarded_total = F.col("cell_guarded") if guarded else F.lit(0).cast("bigint")
     removed = F.col("row_empty") if op.drop_empty else F.lit(0).cast("bigint")
     duplicates_removed = F.col("row_duplicates") if dedup else F.lit(0).cast("bigint")

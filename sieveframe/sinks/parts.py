@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveframe.functions.cells import column
-from sieveframe.plans.clean import CleanResult
+from sieveframe.plans.clean import COUNTERS, CleanResult
 from sieveframe.sources.files import DELIMITERS
 
 # Fixed values.
@@ -86,21 +87,49 @@ def write_parts(df: DataFrame, path: str, max_bytes: int = MAX_PART_BYTES, sep:
     ``names`` is the header if it differs from the columns (it may repeat names). One shuffle moves
     rows to their group; the window and the write share its partitioning and order.
     """
+    _part_lines(df, max_bytes, sep, names, group_rows_bits).write.mode("errorifexists") \
+        .option("lineSep", LINE_END).partitionBy("part").text(path)
+
+
+def _part_lines(df: DataFrame, max_bytes: int, sep: str, names: Sequence[str] | None, group_rows_bits: int) -> DataFrame:
+    """``part, value``: the lines of all parts in order, the first of each with the header before it."""
     names = list(names or df.columns)
     parts = assign_parts(df, max_bytes, sep, names, group_rows_bits)
     before = F.lag("part").over(Window.partitionBy("part_group").orderBy("row_id"))
     first = F.coalesce(before != F.col("part"), F.lit(True))
     head = F.lit(header_line(names, sep) + LINE_END)
-    (parts.select("part", "row_id", F.when(first, F.concat(head, F.col("line"))).otherwise(F.col("line")).alias("value"))
-     .sortWithinPartitions("part", "row_id").select("part", "value")
-     .write.mode("errorifexists").option("lineSep", LINE_END).partitionBy("part").text(path))
+    return (parts.select("part", "row_id", F.when(first, F.concat(head, F.col("line"))).otherwise(F.col("line")).alias("value"))
+            .sortWithinPartitions("part", "row_id").select("part", "value"))
 
 
-def write_result(result: CleanResult, path: str, max_bytes: int = MAX_PART_BYTES) -> None:
-    """Write what a cleaning operation produced; the analysis-only ones write nothing."""
+def write_result(result: CleanResult, path: str, max_bytes: int = MAX_PART_BYTES) -> dict[str, int]:
+    """Write what a cleaning operation produced, and return its ``COUNTERS`` with ``rows_exported``.
+
+    The counters come with the write, so the input is read once. Map tasks that are run again after a loss
+    of executors count again; the rows that the last stage writes are counted once, and if the two disagree
+    the counters are taken anew. The analysis-only operations write nothing.
+    """
     if not result.writes:
         raise ValueError("this operation only analyses; it has no output table")
-    write_parts(result.data, path, max_bytes, result.delimiter, result.output_names)
+    data, counted = result.observed()
+    wrote = Observation()
+    lines = _part_lines(data, max_bytes, result.delimiter, result.output_names, GROUP_ROWS_BITS)
+    lines.observe(wrote, F.count(F.lit(1)).alias("rows_exported")).write.mode("errorifexists") \
+        .option("lineSep", LINE_END).partitionBy("part").text(path)
+    counters = {**_observed(counted, COUNTERS), **_observed(wrote, ["rows_exported"])}
+    if not result.removes_copies and counters["rows_exported"] != counters["rows_evaluated"]:
+        again, counted = result.observed()
+        again.write.format("noop").mode("overwrite").save()
+        counters |= _observed(counted, COUNTERS)
+    return counters
+
+
+def _observed(counted: Observation, names: Sequence[str]) -> dict[str, int]:
+    """What an observation holds after its action; a plan that is known to be empty before it runs drops it."""
+    try:
+        return dict(counted.get)
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
 
 
 def part_files(spark: SparkSession, path: str) -> DataFrame:
