@@ -11,6 +11,7 @@ from sieveframe.catalog.base import load, query
 from sieveframe.functions import cells as C
 from sieveframe.operators import records as R
 from sieveframe.session import scratch_folder
+from sieveframe.streaming.messages import fold_ledger, stream_ledger
 from sieveframe.streaming.records import fold_batches, ingest, run_available, stream_clean, stream_dedup as dedup_stream, stream_latest
 
 _STATUS_SQL = ("case event_type when 'signup' then 'queued' when 'view' then 'running' when 'error' then 'failed' "
@@ -155,6 +156,23 @@ def stream_dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
     return run_available(unique, f"{root}/data", f"{root}/checkpoint")
 
 
+_EVEN = "event_id % 2 = 0"
+
+
+@query(f"""with w as (select max(ts) - interval 7 day as behind from events where {_EVEN})
+    select event_id, event_id % 2 = 1 and ts < (select behind from w) as late,
+    cast(case when {_EVEN} then 1 else 0 end as bigint) as replays from events""")
+def stream_ingest_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the events arrive, then all of them in a later micro-batch after a restart: replays, and late first arrivals."""
+    root = scratch_folder(spark, "late")
+    events = load(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for batch in (events.where(_EVEN), events):
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        written = run_available(stream_ledger(stream, "event_id", "ts"), f"{root}/out", f"{root}/checkpoint", idle=False)
+    return fold_ledger(written, "event_id", "ts").select("event_id", "late", "replays")
+
+
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_folder(spark, "upsert")

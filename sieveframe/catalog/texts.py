@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import html.entities
+import json
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +109,26 @@ def _html_sql(v: str) -> str:
     return f"replace(replace({steps}, '\ufdd0', ''), '\ufdd1', chr(10))"
 
 
+# Every name of HTML 5 as it is and with letters after it, and numbers that browsers read in their own way.
+_REFERENCES = [*(f"&{n}" for n in sorted(html.entities.html5)), *(f"&{n}xyz" for n in sorted(html.entities.html5)),
+               *(f"&#{n};" for n in (0, 1, 9, 65, 127, 128, 129, 150, 159, 233, 55296, 64976, 65534, 128512, 1114112, 99999999999999999999)),
+               *(f"&#x{n}" for n in ("41", "80;", "9F ", "1F600;", "D800;", "FFFFFFFFFFFFFFFF;", "0000041;")), "&#;", "&#x;", "&", "& ", "&nothing;"]
+
+
+def _sql_texts(texts: list[str]) -> str:
+    """A list of texts as SQL, whatever their characters."""
+    return "[" + ", ".join("decode(from_hex('" + t.encode().hex() + "'))" for t in texts) + "]"
+
+
+@query(f"""with r as (select {_sql_texts([html.unescape("&gt" + r) for r in _REFERENCES])} as list)
+    select o_orderkey, '<' || o_orderstatus || list[o_orderkey % {len(_REFERENCES)} + 1] || ' & ' || o_orderstatus as text from orders, r""")
+def html_references(spark: SparkSession, folder: str) -> DataFrame:
+    listed = F.from_json(F.lit(json.dumps(_REFERENCES)), "array<string>")
+    source = F.concat(F.lit("&lt;"), "o_orderstatus", F.lit("&gt"), F.get(listed, (F.col("o_orderkey") % len(_REFERENCES)).cast("int")),
+                      F.lit(" &amp; "), "o_orderstatus")
+    return load(spark, folder, "orders").select("o_orderkey", X.decode_entities(source).alias("text"))
+
+
 @query(f"select page_id, {_html_sql('html')} as text from pages")
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))

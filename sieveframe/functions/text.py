@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -83,26 +84,49 @@ def norm(text: Column) -> Column:
     return F.translate(slug_col(text), "_", " ")
 
 
-def _entity_names() -> Column:
-    names = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
-    return F.create_map(*[F.lit(part) for pair in sorted(names.items()) for part in pair])
+def _map_of(pairs: dict[str, str]) -> Column:
+    """A constant map, folded from its text before it is used."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+
+
+def _numeric_reference(digits: Column) -> Column:
+    """The character of ``#123`` or ``#x1F``, by the rules for web pages; a code that is none gives nothing."""
+    hexadecimal = F.regexp_extract(digits, "^#[xX]0*([0-9A-Fa-f]*)", 1)
+    code = F.when(digits.rlike("^#[xX]"), F.when(F.length(hexadecimal) < 9, F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).try_cast("bigint"))) \
+        .otherwise(F.regexp_extract(digits, "^#([0-9]+)", 1).try_cast("bigint"))
+    code = F.coalesce(code, F.lit(sys.maxunicode + 1))  # more digits than a number has
+    # 128 to 159 mean the characters of windows-1252, where it has one.
+    windows = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0))
+    surrogate = code.between(0xD800, 0xDFFF) | (code > sys.maxunicode) | (code == 0)
+    none = (code < 0x20) & ~code.isin(0x9, 0xA, 0xC, 0xD) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (F.when(surrogate, "\ufffd").when(none, "")
+            .when(code.between(0x80, 0x9F), F.substring(F.lit(windows), (code - 0x7F).cast("int"), F.lit(1)))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references replaced by their characters, in a single pass."""
-    names = _entity_names()
+    """Character references replaced by their characters, in a single pass, as a browser reads them.
+
+    All names of HTML 5 are known, the older ones also without their semicolon; then the longest name that the
+    letters begin with counts, and the rest is text. Where no name fits, the text stays.
+    """
+    names = html.entities.html5
+    every, old = _map_of({n: c for n, c in names.items() if n.endswith(";")}), _map_of({n: c for n, c in names.items() if not n.endswith(";")})
+    common = _map_of({n: names[n] for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")})  # a map is searched entry by entry
+    longest = max(len(n) for n in names if not n.endswith(";"))
 
     def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#?[0-9A-Za-z]+);", 1)
-        decimal = F.regexp_extract(name, "^#([0-9]{1,7})$", 1)
-        hexadecimal = F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
-        code = F.when(decimal != "", decimal.try_cast("int")).when(
-            hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int"))
-        allowed = code.between(1, 0xD7FF) | code.between(0xE000, sys.maxunicode)
-        numeric = F.when(allowed, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        character = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(names, name))
-        return F.when((name == "") | character.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(character, F.substr(piece, F.length(name) + 2)))
+        reference = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+
+        def found(size: Column, character: Column) -> Column:
+            return F.when(character.isNotNull(), F.concat(character, F.substr(piece, size + 1)))
+
+        whole = F.coalesce(F.try_element_at(common, reference), F.when(reference.endswith(";"), F.try_element_at(every, reference)))
+        prefixes = [found(F.lit(n), F.when(F.length(reference) >= n, F.try_element_at(old, F.substring(reference, 1, n))))
+                    for n in range(longest, 1, -1)]
+        return F.when(reference == "", F.concat(F.lit("&"), piece)) \
+            .when(reference.startswith("#"), F.concat(_numeric_reference(reference), F.substr(piece, F.length(reference) + 1))) \
+            .otherwise(F.coalesce(found(F.length(reference), whole), *prefixes, F.concat(F.lit("&"), piece)))
 
     pieces = F.split(text, "&")
     return F.when(~text.contains("&"), text).otherwise(F.array_join(

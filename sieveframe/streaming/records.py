@@ -60,11 +60,22 @@ def stream_latest(stream: DataFrame, key: str, order: str, values: Sequence[str]
     return last.select(column(key), *[F.col("_row")[name].alias(name) for name in (order, *values)])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", idle: bool = True) -> DataFrame:
     """Process all that has arrived into a Parquet table and read the table back.
 
-    The file sink commits a batch once, so a restart from ``checkpoint`` repeats nothing.
+    The file sink commits a batch once, so a restart from ``checkpoint`` repeats nothing. Without ``idle``
+    batches are run for new data only: timers by the clock would ask for another one for ever.
     """
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = stream.sparkSession.conf.get(setting)
+    stream.sparkSession.conf.set(setting, str(idle).lower())
+    try:
+        return _run_available(stream, path, checkpoint, mode)
+    finally:
+        stream.sparkSession.conf.set(setting, before)
+
+
+def _run_available(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
     query = (stream.writeStream.format("parquet").outputMode(mode)
              .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
