@@ -13,6 +13,7 @@ from sieveframe.operators import records as R
 from sieveframe.session import scratch_folder
 from sieveframe.streaming.messages import fold_ledger, stream_ledger
 from sieveframe.streaming.records import fold_batches, ingest, run_available, stream_clean, stream_dedup as dedup_stream, stream_latest
+from sieveframe.streaming.snapshots import compact, read_latest, store_batch
 
 _STATUS_SQL = ("case event_type when 'signup' then 'queued' when 'view' then 'running' when 'error' then 'failed' "
                "else 'done' end")
@@ -181,6 +182,18 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return fold_batches(spark.read.parquet(f"{root}/data"), "user_id")
 
 
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
+def upsert_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest rows after three batches, one of them repeated, with a snapshot after two and one after all."""
+    path = scratch_folder(spark, "snapshots")
+    events = load(spark, folder, "events").select("user_id", "event_id", "event_type")
+    for number in (0, 1, 1, 2):
+        store_batch(events.where(F.col("event_id") % 3 == number), path, number)
+        if number:
+            compact(spark, path, "user_id", "event_id")
+    return read_latest(spark, path, "user_id", "event_id")
+
+
 _TEXT = ("select case when event_id % 11 = 0 then '' else event_id::varchar end as id, "
          "case when event_id % 11 = 0 then '  ' else ' ' || event_type || ' ' end as kind, "
          "case when event_id % 11 = 0 then '' when event_id % 5 = 0 then '=' || event_type else '-' || event_id end as note "
