@@ -285,6 +285,18 @@ def json_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows_of_json(_payloads(spark, folder), "payload", ["event_id"])[0]
 
 
+_CELLS_SQL = """concat('{"rows":[{"k":1,"list":[1, true,null,"a, b:c"],"k":', cast(event_id as {S}), ',"big":1e400,"o":{"x":"', event_type,
+    '","y":[]},"t":true,"quoted":"[1,2]","word":"true"}]}')"""
+
+
+@query("""select event_id::varchar as k, '[1, true, null, "a, b:c"]' as list, 'inf' as big, '{"x": "' || event_type || '", "y": []}' as o,
+    'True' as t, '[1,2]' as quoted, 'true' as word from events""")
+def json_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Values by their types: the last of a repeated key, lists and objects with spaces, numbers beyond a double."""
+    payloads = load(spark, folder, "events").select("event_id", F.expr(_CELLS_SQL.replace("{S}", "string")).alias("payload"))
+    return rows_of_json(payloads, "payload", ["event_id"])[0]
+
+
 @query(f"select event_id, {_PAYLOAD_SQL} as payload from events where event_id % 7 < 3")
 def json_rejected(spark: SparkSession, folder: str) -> DataFrame:
     return rows_of_json(_payloads(spark, folder), "payload", ["event_id"])[1]

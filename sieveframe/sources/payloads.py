@@ -31,8 +31,18 @@ def json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFr
     """Rows of the accepted payloads, one column per key, and the input rows of the rejected ones.
 
     ``order`` names the columns that put the payloads in sequence. A payload is accepted only if it
-    is an object whose ``rows`` is a list of nothing but objects.
+    is an object whose ``rows`` is a list of nothing but objects. Of a repeated key the last value counts.
     """
+    conf, setting = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(setting)
+    conf.set(setting, "true")  # read when an expression is planned
+    try:
+        return _json_rows(df, payload, order)
+    finally:
+        conf.set(setting, before)
+
+
+def _json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     text = F.col(payload)
     items = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$.rows", "array<variant>"), F.lit(None))
     kinds = F.transform(items, lambda item: F.schema_of_variant(item))
@@ -41,16 +51,31 @@ def json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFr
     bad = marked.filter("NOT _accepted").drop("_accepted")
     parsed = F.from_json(text, ROWS)["rows"]
     records = (marked.filter("_accepted").withColumn("_items", items)
-               .select(*[column(c) for c in order], "_items", F.posexplode(parsed).alias("item", "record")))
+               .select(*[column(c) for c in order], "_items", F.posexplode(parsed).alias("item", "record"))
+               .withColumn("record", _last_values(F.col("record"))))
     keys = json_keys(records, order)
     return records.select(*[_cell(key).alias(key) for key in keys]), bad
 
 
+def _last_values(record: Column) -> Column:
+    """The map without earlier values of a repeated key; keys stay where they first are."""
+    keys, entries = F.map_keys(record), F.map_entries(record)
+    single = F.transform(F.array_distinct(keys), lambda key: F.element_at(F.filter(entries, lambda e: e["key"] == key), -1))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), record).otherwise(F.map_from_entries(single))
+
+
+def _spaced(text: Column) -> Column:
+    """Compact JSON with a space after each comma and colon outside strings."""
+    return F.rtrim(F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^",:])*+)([,:]|\z)', "$1$2 "))
+
+
 def _cell(key: str) -> Column:
-    """Text of a key's value in ``record``; a boolean, told from equal text by its type, is True or False."""
+    """Text of a key's value in ``record``, by the type it has there: truth values, lists and objects, infinite numbers."""
     value = F.try_element_at("record", F.lit(key))
     if "'" in key or "\\" in key:  # no path names such a key
         return F.coalesce(value, F.lit(""))
-    typed = F.try_variant_get(F.get("_items", F.col("item")), f"$['{key}']", "variant")
-    boolean = value.isin("true", "false") & (F.schema_of_variant(typed) == "BOOLEAN")
-    return F.when(boolean, F.initcap(value)).otherwise(F.coalesce(value, F.lit("")))
+    kind = F.schema_of_variant(F.try_variant_get(F.get("_items", F.col("item")), f"$['{key}']", "variant"))
+    typed = (F.when(value.isin("true", "false"), F.when(kind == "BOOLEAN", F.initcap(value)))
+             .when(value.rlike(r"^[\[{]"), F.when(kind.rlike("^(ARRAY|OBJECT)"), _spaced(value)))
+             .when(value.isin('"Infinity"', '"-Infinity"'), F.when(kind == "DOUBLE", F.regexp_replace(value, '"(-?).*"', "$1inf"))))
+    return F.coalesce(typed, value, F.lit(""))

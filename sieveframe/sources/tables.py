@@ -158,8 +158,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         # A line of nothing but spaces is a record of its own, which Spark's parser would not see.
         blank, raw = is_blank_line(F.col("text")), F.col("text")
         split_ = F.split(raw, "\\" + sep)
-        cells = records.select("*", F.from_csv(raw, _text_schema(slots).simpleString().removeprefix("struct<").removesuffix(">")
-                                               .replace(":", " "), options).alias("cells"))
+        schema = ", ".join(f"{s} string" for s in slots)
+        cells = records.select("*", F.from_csv(raw, schema, options).alias("cells"))
         fields = [F.when(blank, F.get(split_, i)).otherwise(F.col("cells")[s]) for i, s in enumerate(slots)]
         if ordered:
             cells = cells.orderBy("path", "record")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveframe.functions.text import decode_entities
+from sieveframe.sources.payloads import json_rows
 from sieveframe.streaming.messages import fold_ledger, stream_ledger
 from sieveframe.streaming.records import run_available
 
@@ -58,3 +59,11 @@ def test_references_equal_a_browsers(evaluate, seed):
 def test_single_references(evaluate):
     texts = ["&copy b", "&lt x", "&NotEqualTilde;", "&#x80;", "&notit;", "&nothing;", "&amp;lt;", "", None]
     assert evaluate(decode_entities, texts) == ["© b", "< x", "≂̸", "€", "¬it;", "¬hing;", "&lt;", "", None]
+
+
+def test_json_values_by_their_types(spark):
+    payloads = ['{"rows": [{"a": 1, "b": [1, {"x": "p,q:r \\"s", "y": null}], "a": "last"}, {"c": -1e999, "b": "[1,2]", "a": {}}]}']
+    good, bad = json_rows(spark.createDataFrame(list(enumerate(payloads)), "n int, payload string"), "payload", ["n"])
+    assert good.columns == ["a", "b", "c"] and bad.count() == 0
+    assert sorted(tuple(r) for r in good.collect()) == [("last", '[1, {"x": "p,q:r \\"s", "y": null}]', ""), ("{}", "[1,2]", "-inf")]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
