@@ -179,12 +179,11 @@ def resampled(docs: DataFrame, target: DataFrame, **options: int) -> DataFrame:
 
     Of rows equal in doc_id and text as many come back as were drawn, with the other columns of one of them.
     """
-    key, mark, times = fresh(docs, "key", "mark", "times")
+    key, mark, times, own_key, own_mark = fresh(docs, "key", "mark", "times", "own_key", "own_mark")
     drawn = resampling(docs, target, **options).where("rank is not null").groupBy("doc_id", "digest") \
         .agg(F.count(F.lit(1)).cast("int").alias(times)).select(F.col("doc_id").alias(key), F.col("digest").alias(mark), times)
-    marked = docs.withColumn(key, F.col("doc_id").cast("long")) \
-        .withColumn(mark, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    right = drawn.withColumnsRenamed({key: f"{key}_", mark: f"{mark}_"})
-    return marked.dropDuplicates([key, mark]).join(
-        right, F.col(key).eqNullSafe(F.col(f"{key}_")) & (F.col(mark) == F.col(f"{mark}_"))) \
+    marked = docs.withColumn(own_key, F.col("doc_id").cast("long")) \
+        .withColumn(own_mark, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return marked.dropDuplicates([own_key, own_mark]).join(
+        drawn, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(mark) == F.col(own_mark))) \
         .withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
