@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveframe.functions.cells import column, is_blank
 
@@ -27,30 +28,29 @@ def drop_empty(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return df.filter(~row_is_blank(names or df.columns))
 
 
-def fingerprint(names: Sequence[str]) -> Column:
-    """128 bits of a whole row, as two hashes with seeds of their own."""
-    cells = [column(n) for n in names]
-    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("another seed"), *cells, F.lit(len(names))).alias("b"))
+def fingerprint(df: DataFrame, names: Sequence[str]) -> Column:
+    """SHA-256 of a whole row, written so that no two different rows are written alike."""
+    def part(name: str) -> Column:
+        cell, kind = column(name), df.schema[name].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            cell = cell + F.lit(0.0).cast(kind)  # one zero
+        if not isinstance(kind, T.StringType):
+            cell = F.to_json(F.struct(cell.alias("v")))
+        return F.coalesce(F.concat(F.octet_length(cell).cast("string"), F.lit(":"), cell), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(*[part(n) for n in names]).cast("binary"), 256))
 
 
 def duplicate_count(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """How many rows repeat an earlier row in full: ``rows, duplicates``.
 
-    Rows are folded by 16 bytes of fingerprint, inside each task before the shuffle, so a row repeated very
-    often costs no more than a rare one. Only rows whose fingerprint is seen twice are then compared whole:
-    different ones that share it are no copies. Without any, the rows are not read again.
+    Rows are folded by the 32 bytes of their SHA-256, inside each task before the shuffle, so a row repeated
+    very often costs no more than a rare one, and a wide row no more than a narrow one. No two different texts
+    with the same digest are known.
     """
-    names = list(names or df.columns)
-    marked = df.select(*[column(n) for n in names]).withColumn("_mark", fingerprint(names))
-    folded = marked.groupBy("_mark").agg(F.count("*").alias("n"))
-    twice = folded.where("n > 1").select(F.col("_mark").alias("_twice"))
-    compared = marked.join(twice, F.col("_mark") == F.col("_twice"), "left_semi").groupBy("_mark", *[column(n) for n in names]) \
-        .agg(F.lit(1).alias("one"))
-    # A fingerprint stands for one row, and for one more with each further row that is found to share it.
-    counts = folded.select(F.col("n").alias("rows"), F.lit(1).alias("kinds")).unionByName(
-        compared.groupBy("_mark").agg((F.count("*") - 1).alias("kinds")).select(F.lit(0).cast("bigint").alias("rows"), "kinds"))
-    return counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                      F.coalesce(F.sum("rows") - F.sum("kinds"), F.lit(0)).alias("duplicates"))
+    copies = df.select(fingerprint(df, list(names or df.columns)).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+    return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def exact_dedup(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

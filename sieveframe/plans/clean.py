@@ -50,7 +50,7 @@ class CleanResult:
     """``data`` is a narrow plan (one shuffle if it removes copies); ``report`` is one row.
 
     ``data`` carries unique names; ``output_names`` are those of the written header, which may repeat.
-    ``report`` holds the profile too, from one pass over the cells, and counts copies by fingerprints of the
+    ``report`` holds the profile too, from one pass over the cells, and counts copies by digests of the
     rows; whole rows are shuffled only to remove copies. ``profile`` is that pass alone. Both are planned when
     first asked for. ``observed`` is ``data`` with counters that come with whatever reads it.
     """
@@ -206,7 +206,7 @@ def _counters(steps: DataFrame, op: Operation, blank: Column, names: list[str])
 
 def _report(table: SourceTable, steps: DataFrame, name: str, op: Operation, dedup: bool, blank: Column,
             options: dict[str, str], delimiter: str, changed_headers: int) -> DataFrame:
-    """Counters and profile in one pass over the cells; copies are counted by fingerprints of the rows.
+    """Counters and profile in one pass over the cells; copies are counted by digests of the rows.
 
     With copies removed, they are folded first and every distinct row is weighed.
     """
