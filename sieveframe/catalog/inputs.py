@@ -10,6 +10,7 @@ from sieveframe.catalog.cleaning import GUARDED, WITH_D
 from sieveframe.functions import cells as C
 from sieveframe.plans.clean import clean
 from sieveframe.session import scratch_folder
+from sieveframe.sinks.layout import part_layout as layout_of, place_lines
 from sieveframe.sinks.parts import LINE_END, assign_parts, csv_field, header_line, part_files, write_parts, write_result
 from sieveframe.sources.files import manifest, probe_files
 from sieveframe.sources.fragments import stack_fragments
@@ -133,6 +134,24 @@ def part_assignment(spark: SparkSession, folder: str) -> DataFrame:
                      (F.max("bytes") + head <= PART_BYTES).alias("within_limit"))
 
 
+# Orders by key; each 500th has a note above half of a part.
+_NOTED = "o_orderkey as id, o_orderstatus as status, case when o_orderkey % 500 = 0 then repeat('x', 33000 + cast(o_orderkey % 7 as int)) else o_orderpriority end as note"
+_ROOM = PART_BYTES - len((header_line(["id", "status", "note"], ",") + LINE_END).encode())
+
+
+@query(f"""with n as (select {_NOTED} from orders),
+    l as (select id, strlen(concat_ws(',', cast(id as varchar), status, note)) + 2 as size from n),
+    s as (select *, size > {_ROOM // 2} as large, case when size > {_ROOM // 2} then 0 else size end as small from l),
+    o as (select *, row_number() over w - 1 as row, sum(size) over w - size as place, sum(small) over w - small as start,
+                 count(*) filter (large) over w as turn, max(small) over () as largest from s window w as (order by id)),
+    k as (select *, case when large then 0 else 1 + cast(floor(start / ({_ROOM} - largest)) as bigint) end as slot from o)
+    select dense_rank() over (order by turn, slot) - 1 as part, count(*) as "rows", min(row) as first_row, max(row) as last_row,
+           cast(min(place) as bigint) as first_byte, cast(sum(size) as bigint) as bytes from k group by turn, slot""")
+def part_layout(spark: SparkSession, folder: str) -> DataFrame:
+    noted = spark.sql(f"select {_NOTED} from {{orders}}", orders=load(spark, folder, "orders"))
+    return layout_of(place_lines(noted.orderBy("id"), PART_BYTES))
+
+
 @query(f"""with d as ({D}), l as (select {_LINE} as line from d)
            select cast(sum(strlen(line) + 2) as bigint) as line_bytes, true as within_limit, true as split from l""")
 def written_parts(spark: SparkSession, folder: str) -> DataFrame:
