@@ -10,7 +10,7 @@ from sieveframe.catalog.cleaning import GUARDED, WITH_D
 from sieveframe.functions import cells as C
 from sieveframe.plans.clean import clean
 from sieveframe.session import scratch_folder
-from sieveframe.sinks.layout import part_layout as layout_of, place_lines
+from sieveframe.sinks.layout import part_layout as layout_of, place_lines, write_result_in_order
 from sieveframe.sinks.parts import LINE_END, assign_parts, csv_field, header_line, part_files, write_parts, write_result
 from sieveframe.sources.files import manifest, probe_files
 from sieveframe.sources.fragments import stack_fragments
@@ -152,6 +152,21 @@ def part_layout(spark: SparkSession, folder: str) -> DataFrame:
     return layout_of(place_lines(noted.orderBy("id"), PART_BYTES))
 
 
+@query(f"""with n as (select {_NOTED} from orders)
+    select row_number() over (order by id) as "row", cast(id as varchar) as id, status, length(note) as note_length,
+           true as within_limit, (select count(*) from n) as rows_exported from n""")
+def ordered_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of parts written in order, read again by their place, with the counters of the run that wrote them."""
+    noted = spark.sql(f"select {_NOTED} from {{orders}}", orders=load(spark, folder, "orders"))
+    path = scratch_folder(spark, "ordered")
+    counters = write_result_in_order(clean(noted.orderBy("id"), "delimiter", delimiter=";"), path, PART_BYTES)
+    longest = part_files(spark, path).agg(F.max("bytes").alias("bytes")).first()["bytes"]
+    rows = read_table(spark, path, "csv", place=True, ordered=True).data
+    return rows.select("row", "id", "status", F.length("note").cast("bigint").alias("note_length"),
+                       F.lit(longest <= PART_BYTES).alias("within_limit"),
+                       F.lit(counters["rows_exported"]).cast("bigint").alias("rows_exported"))
+
+
 @query(f"""with d as ({D}), l as (select {_LINE} as line from d)
            select cast(sum(strlen(line) + 2) as bigint) as line_bytes, true as within_limit, true as split from l""")
 def written_parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveframe.functions.cells import column
+from sieveframe.plans.clean import CleanResult
 from sieveframe.session import written
-from sieveframe.sinks.parts import LINE_END, MAX_PART_BYTES, csv_line, header_line
+from sieveframe.sinks.parts import LINE_END, MAX_PART_BYTES, csv_line, header_line, run_counters
 from sieveframe.sources.files import DELIMITERS
 
 FOLDER_BITS = 15  # a folder of a written output holds the files of 2^15 parts at most
@@ -126,5 +127,18 @@ def write_in_order(df: DataFrame, path: str, max_bytes: int = MAX_PART_BYTES, se
     return layout
 
 
+def write_result_in_order(result: CleanResult, path: str, max_bytes: int = MAX_PART_BYTES) -> dict[str, int]:
+    """``write_in_order`` of what a cleaning operation produced; returns the counters of ``write_result``.
+
+    The counters come with the one pass over the input that writes its lines.
+    """
+    if not result.writes:
+        raise ValueError("this operation only analyses; it has no output table")
+    data, counted = result.observed()
+    layout = write_in_order(data, path, max_bytes, result.delimiter, result.output_names)
+    exported = layout.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()["rows"]
+    return run_counters(result, counted, exported)
+
+
 def _folder(part: Column) -> Column:
     return F.lpad(F.shiftright(part, FOLDER_BITS).cast("string"), 5, "0")

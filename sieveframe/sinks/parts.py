@@ -116,8 +116,13 @@ def write_result(result: CleanResult, path: str, max_bytes: int = MAX_PART_BYTES
     lines = _part_lines(data, max_bytes, result.delimiter, result.output_names, GROUP_ROWS_BITS)
     lines.observe(wrote, F.count(F.lit(1)).alias("rows_exported")).write.mode("errorifexists") \
         .option("lineSep", LINE_END).partitionBy("part").text(path)
-    counters = {**_observed(counted, COUNTERS), **_observed(wrote, ["rows_exported"])}
-    if not result.removes_copies and counters["rows_exported"] != counters["rows_evaluated"]:
+    return run_counters(result, counted, _observed(wrote, ["rows_exported"])["rows_exported"])
+
+
+def run_counters(result: CleanResult, counted: Observation, exported: int) -> dict[str, int]:
+    """The counters of a run that exported so many rows; taken anew if tasks that were run again counted twice."""
+    counters = {**_observed(counted, COUNTERS), "rows_exported": exported}
+    if not result.removes_copies and exported != counters["rows_evaluated"]:
         again, counted = result.observed()
         again.write.format("noop").mode("overwrite").save()
         counters |= _observed(counted, COUNTERS)

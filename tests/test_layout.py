@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sieveframe import clean, read_table, write_result_in_order
 from sieveframe.sinks import layout
 from sieveframe.sinks.parts import LINE_END, header_line
 
@@ -89,3 +90,15 @@ def test_empty_table_nulls_and_rows_that_do_not_fit(spark, tmp_path):
         layout.place_lines(one, 5)
     with pytest.raises(ValueError, match="delimiter"):
         layout.place_lines(one, sep="#")
+
+
+def test_result_keeps_its_counters_and_order(spark, put, tmp_path):
+    rows = [f" {k} ;=x{k}" if k % 3 else ";" for k in range(120)]
+    table = read_table(spark, put("Code;Note\n" + "\n".join(rows) + "\n"), "csv")
+    counters = write_result_in_order(clean(table, "tidy"), str(tmp_path / "out"), 200)
+    assert (counters["rows_read"], counters["empty_rows_found"], counters["rows_exported"], counters["formula_guarded"]) == (120, 40, 80, 80)
+    contents = files_in_order(tmp_path / "out")
+    assert len(contents) > 4 and all(len(c.encode()) <= 200 and c.startswith("\ufeffcode,note\r\n") for c in contents)
+    assert [line for c in contents for line in c.split(LINE_END)[1:-1]] == [f"{k},'=x{k}" for k in range(120) if k % 3]
+    with pytest.raises(ValueError, match="only analyses"):
+        write_result_in_order(clean(table, "profile"), str(tmp_path / "none"))
