@@ -13,26 +13,33 @@ from sieveframe.sources.tables import SourceTable, as_table
 DIGITS = 9  # of a limb
 _BASE = 10**DIGITS
 _SUM = "decimal(28,0)"  # of 10^19 limbs
-_PARTS = r"^[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z"
 
+def limbs(numbers: DataFrame, cell: str) -> DataFrame:
+    """The rows with ``place, limb`` of the text ``cell``, whose value is the sum of ``limb * 10^(9 * place)``.
 
-def limbs(number: Column) -> Column:
-    """A number's text as ``(place, limb)``: its value is the sum of ``limb * 10^(9 * place)``.
-
-    The digits are moved so that the last one stands at a multiple of nine, then cut from the right.
+    Each number also has a row with place NULL and limb 1, to be counted by. The digits are moved so that the
+    last one stands at a multiple of nine, then cut from the right. Steps are columns of their own: a lambda
+    works out what it refers to for each limb anew, unless it is a column.
     """
-    whole, fraction = F.regexp_extract(number, _PARTS, 1), F.regexp_extract(number, _PARTS, 2)
-    power = F.coalesce(F.regexp_extract(number, _PARTS, 3).try_cast("int"), F.lit(0)) - F.length(fraction)
-    moved = F.pmod(power, F.lit(DIGITS))
-    digits = F.concat(whole, fraction, F.repeat(F.lit("0"), moved))
-    count = F.ceil(F.length(digits) / DIGITS).cast("int")
-    padded = F.lpad(digits, count * DIGITS, F.lit("0"))
-    sign = F.when(number.startswith("-"), -1).otherwise(1)
-    lowest = ((power - moved) / DIGITS).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(
-        (lowest + count - 1 - j).alias("place"),
-        (sign * F.substring(padded, j * DIGITS + 1, F.lit(DIGITS)).cast("int")).alias("limb")))
-    return F.filter(cut, lambda x: x["limb"] != 0)
+    text, count = F.lower(F.col(cell)), F.ceil(F.length("_digits") / DIGITS).cast("int")
+    mantissa = F.substring_index(text, "e", 1)
+    read = numbers.withColumns({
+        "_sign": F.when(F.startswith(text, F.lit("-")), -1).otherwise(1), "_mantissa": F.ltrim(mantissa, F.lit("+-")),
+        "_exponent": F.when(F.contains(text, F.lit("e")), F.substring_index(text, "e", -1).try_cast("int"))})
+    whole = F.substring_index("_mantissa", ".", 1)
+    fraction = F.when(F.contains("_mantissa", F.lit(".")), F.substring_index("_mantissa", ".", -1)).otherwise("")
+    cut = read.withColumns({"_whole": whole, "_fraction": fraction})
+    powers = cut.withColumn("_power", F.coalesce("_exponent", F.lit(0)) - F.length("_fraction"))
+    moved = powers.withColumn("_moved", F.pmod("_power", F.lit(DIGITS)))
+    digits = moved.withColumn("_digits", F.concat("_whole", "_fraction", F.repeat(F.lit("0"), F.col("_moved"))))
+    counted = digits.withColumns({"_count": count, "_lowest": ((F.col("_power") - F.col("_moved")) / DIGITS).cast("int")})
+    padded = counted.withColumn("_digits", F.lpad("_digits", F.col("_count") * DIGITS, F.lit("0")))
+    each = F.transform(F.sequence(F.lit(0), F.col("_count") - 1), lambda j: F.struct(
+        (F.col("_lowest") + F.col("_count") - 1 - j).alias("place"),
+        (F.col("_sign") * F.substring("_digits", j * DIGITS + 1, F.lit(DIGITS)).cast("int")).alias("limb")))
+    one = F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(1).alias("limb")))
+    exploded = padded.select(*numbers.columns, F.inline(F.concat(one, each)))
+    return exploded.where("place IS NULL OR limb <> 0")
 
 
 def _carried(sums: Column, lowest: Column, highest: Column, sign: int) -> Column:
@@ -73,10 +80,10 @@ def exact_totals(source: SourceTable | DataFrame, columns: Sequence[str] | None
     cells = table.data.select(F.posexplode(F.array(*[C.column(n) for n in names])).alias("position", "raw"))
     value = cells.select("position", C.blank_to_empty(F.col("raw")).alias("cell"))
     numbers = value.where(C.cell_class(F.col("cell"), C.exact_number(F.col("cell"))) == C.NUMERIC)
-    # A number that is all zeros has no limb, but counts.
-    each = numbers.select("position", F.explode(F.concat(
-        F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(1).alias("limb"))), limbs(F.col("cell")))).alias("x"))
-    sums = each.groupBy("position", "x.place").agg(F.sum(F.col("x.limb").cast("decimal(18,0)")).alias("sum"))
+    # Sums of a task are longs (of 2^33 limbs at most, or the job fails), those of all tasks decimals.
+    each = limbs(numbers, "cell").select("position", "place", "limb", F.spark_partition_id().alias("task"))
+    tasks = each.groupBy("position", "place", "task").agg(F.sum(F.col("limb").cast("bigint")).alias("sum"))
+    sums = tasks.groupBy("position", "place").agg(F.sum(F.col("sum").cast("decimal(19,0)")).cast(_SUM).alias("sum"))
     folded = sums.groupBy("position").agg(
         F.sum(F.when(F.col("place").isNull(), F.col("sum"))).cast("bigint").alias("numeric"),
         F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "sum")))).alias("sums"))

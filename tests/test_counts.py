@@ -117,3 +117,11 @@ def test_totals_in_plain_text(spark, cells, total):
     assert exact_totals(spark.createDataFrame([(c,) for c in cells], "v string")).first()["total"] == total
 
 
+
+
+def test_a_number_is_taken_apart_once(spark):
+    """Not again for each of its limbs."""
+    totals = exact_totals(spark.createDataFrame([("1" * 60, "-2.5e3")], "a string, b string"))
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(0") == 1 and plan.count("substring_index") <= 5
+    assert [r["total"] for r in totals.orderBy("position").collect()] == ["1" * 60, "-2500"]
