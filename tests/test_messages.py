@@ -47,6 +47,22 @@ def test_handled_messages_are_forgotten_and_others_are_not(spark, tmp_path):
     assert stored == {1: 2, 2: 1, 5: 1}
 
 
+def test_keys_share_a_call(spark, tmp_path):
+    """Python is called for each bucket, not for each key; keys beyond a double stay exact beside a missing one."""
+    keys = [2**60 + n for n in range(50)] + [None]
+    batches = [[(k, "2024-03-20", False) for k in keys], [(keys[0], "2024-03-20", True), (None, "2024-03-20", False)]]
+    run(spark, tmp_path, batches[:1], keep_ms=1, buckets=1)
+    run(spark, tmp_path, batches[1:], keep_ms=1, buckets=1)
+    time.sleep(0.1)
+    written = run(spark, tmp_path, [[(keys[0], "2024-03-20", False), (keys[1], "2024-03-20", False)]], keep_ms=1, buckets=1)
+    replays = {r["id"]: r["replays"] for r in fold_ledger(written, "id", "ts").collect()}
+    assert replays == {**dict.fromkeys(keys, 0), None: 1, keys[0]: 1, keys[1]: 1}
+    time.sleep(0.1)
+    run(spark, tmp_path, [[(keys[2], "2024-03-20", True)]], keep_ms=1, buckets=1)  # keys[0] is due and not named
+    written = run(spark, tmp_path, [[(keys[0], "2024-03-20", False)]], keep_ms=1, buckets=1)
+    assert written.where((F.col("id") == keys[0]) & F.col("stored")).count() == 2
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_references_equal_a_browsers(evaluate, seed):
     rng = random.Random(seed)
