@@ -20,7 +20,7 @@ def json_keys(rows: DataFrame, order: Sequence[str]) -> list[str]:
     """
     # Objects of the same shape are folded first; only the distinct shapes are taken apart.
     place = F.struct(*[column(c) for c in order], F.col("item"))
-    shapes = rows.groupBy(F.map_keys("record").alias("keys")).agg(F.min(place).alias("place"))
+    shapes = rows.groupBy(F.array_distinct(F.map_keys("record")).alias("keys")).agg(F.min(place).alias("place"))
     seen = shapes.select("place", F.posexplode("keys").alias("at", "key"))
     found = (seen.groupBy("key").agg(F.min(F.struct("place", "at")).alias("first"))
              .orderBy("first").limit(MAX_COLUMNS + 1).collect())
@@ -45,36 +45,37 @@ def json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFr
 def _json_rows(df: DataFrame, payload: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     text = F.col(payload)
     items = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$.rows", "array<variant>"), F.lit(None))
-    kinds = F.transform(items, lambda item: F.schema_of_variant(item))
-    objects = items.isNotNull() & F.forall(kinds, lambda kind: kind.startswith("OBJECT"))
-    marked = df.withColumn("_accepted", F.coalesce(objects, F.lit(False)))
-    bad = marked.filter("NOT _accepted").drop("_accepted")
-    parsed = F.from_json(text, ROWS)["rows"]
-    records = (marked.filter("_accepted").withColumn("_items", items)
-               .select(*[column(c) for c in order], "_items", F.posexplode(parsed).alias("item", "record"))
-               .withColumn("record", _last_values(F.col("record"))))
+    kinds = F.transform("_items", lambda item: F.schema_of_variant(item))
+    objects = F.col("_items").isNotNull() & F.forall(kinds, lambda kind: kind.startswith("OBJECT"))
+    marked = df.withColumn("_items", items).withColumn("_accepted", F.coalesce(objects, F.lit(False)))
+    bad = marked.filter("NOT _accepted").drop("_accepted", "_items")
+    # A filter on what is parsed would move below and parse again; rejected payloads leave by having no item.
+    parsed = F.when(F.col("_accepted"), F.from_json(text, ROWS)["rows"])
+    records = marked.select(*[column(c) for c in order], "_items", F.posexplode_outer(parsed).alias("item", "record")) \
+        .where("item IS NOT NULL")
     keys = json_keys(records, order)
-    return records.select(*[_cell(key).alias(key) for key in keys]), bad
+    # Each step is worked out once, as columns of its own: the object, its values, and then their texts.
+    taken = records.select(F.get("_items", F.col("item")).alias("_object"), F.reverse(F.map_keys("record")).alias("_keys"),
+                           F.reverse(F.map_values("record")).alias("_values"))
+    values = taken.select("_object", *[_last_value(key).alias(f"_v{i}") for i, key in enumerate(keys)])
+    return values.select(*[_cell(F.col(f"_v{i}"), key).alias(key) for i, key in enumerate(keys)]), bad
 
 
-def _last_values(record: Column) -> Column:
-    """The map without earlier values of a repeated key; keys stay where they first are."""
-    keys, entries = F.map_keys(record), F.map_entries(record)
-    single = F.transform(F.array_distinct(keys), lambda key: F.element_at(F.filter(entries, lambda e: e["key"] == key), -1))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), record).otherwise(F.map_from_entries(single))
+def _last_value(key: str) -> Column:
+    """A key's last value, from keys and values that are turned round; NULL without the key."""
+    return F.get("_values", F.array_position("_keys", key).cast("int") - 1)
 
 
 def _spaced(text: Column) -> Column:
     """Compact JSON with a space after each comma and colon outside strings."""
-    return F.rtrim(F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^",:])*+)([,:]|\z)', "$1$2 "))
+    return F.rtrim(F.regexp_replace(text, r'((?:"(?:[^"\\]++|\\.)*+"|[^",:]++)*+)([,:]|\z)', "$1$2 "))
 
 
-def _cell(key: str) -> Column:
-    """Text of a key's value in ``record``, by the type it has there: truth values, lists and objects, infinite numbers."""
-    value = F.try_element_at("record", F.lit(key))
+def _cell(value: Column, key: str) -> Column:
+    """Text of a key's value, by the type it has in ``_object``: truth values, lists and objects, infinite numbers."""
     if "'" in key or "\\" in key:  # no path names such a key
         return F.coalesce(value, F.lit(""))
-    kind = F.schema_of_variant(F.try_variant_get(F.get("_items", F.col("item")), f"$['{key}']", "variant"))
+    kind = F.schema_of_variant(F.try_variant_get("_object", f"$['{key}']", "variant"))
     typed = (F.when(value.isin("true", "false"), F.when(kind == "BOOLEAN", F.initcap(value)))
              .when(value.rlike(r"^[\[{]"), F.when(kind.rlike("^(ARRAY|OBJECT)"), _spaced(value)))
              .when(value.isin('"Infinity"', '"-Infinity"'), F.when(kind == "DOUBLE", F.regexp_replace(value, '"(-?).*"', "$1inf"))))

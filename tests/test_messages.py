@@ -83,3 +83,12 @@ def test_json_values_by_their_types(spark):
     assert good.columns == ["a", "b", "c"] and bad.count() == 0
     assert sorted(tuple(r) for r in good.collect()) == [("last", '[1, {"x": "p,q:r \\"s", "y": null}]', ""), ("{}", "[1,2]", "-inf")]
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_payloads_are_parsed_once(spark):
+    payloads = ['{"rows": [{"a": 1, "b": "x"}, {"a": true, "a": null}]}', '{"rows": []}', '{"rows": [1]}', '{"rows": [{"a": 1}, null]}', "no", None]
+    good, bad = json_rows(spark.createDataFrame(list(enumerate(payloads)), "n int, payload string"), "payload", ["n"])
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.lower().count("parsejson") <= 1
+    assert sorted(tuple(r) for r in good.collect()) == [("", ""), ("1", "x")]
+    assert sorted(r["n"] for r in bad.collect()) == [2, 3, 4, 5]
