@@ -25,6 +25,9 @@ from sieveframe.sources.files import DELIMITERS
 FOLDER_BITS = 15  # a folder of a written output holds the files of 2^15 parts at most
 SENT_ROWS = 1 << 20  # rows of facts about tasks, or about parts, that are broadcast at most
 
+# A task of its own for each part costs more than a small part; a name counts 1,000 files of a task in order.
+SMALL_PART, GROUP_BYTES, GROUP_PARTS, LEAST_GROUPS = 1 << 20, 32 << 20, 1000, 64
+
 NUMBERED = "task long, number long, line_start long, start long, large_before long, line_bytes long, line string"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
@@ -46,6 +49,28 @@ def _number(batches: Iterator[pa.RecordBatch], half: int) -> Iterator[pa.RecordB
             rows, total, small_total, large_total = rows + len(size), int(ends[-1]), int(small_ends[-1]), int(large[-1])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each part, as one row; what is held is the part that is open."""
+    part, folder, held = None, None, []
+
+    def given(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: [d[k] for d in done] for k, n in enumerate(("part", "folder", "value"))}, schema=pa.schema(
+            [("part", pa.int64()), ("folder", pa.string()), ("value", pa.string())]))
+
+    for batch in batches:
+        done, numbers, values = [], batch.column("part").to_numpy(), batch.column("value")
+        starts = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
+        for low, high in zip(starts, [*starts[1:], len(numbers)]):
+            if part is not None and numbers[low] != part:
+                done.append((part, folder, LINE_END.join(held)))
+                held = []
+            part, folder = int(numbers[low]), batch.column("folder")[low].as_py()
+            held += values.slice(low, high - low).to_pylist()
+        yield given(done)
+    if part is not None:
+        yield given([(part, folder, LINE_END.join(held))])
+
+
 def _head(names: Sequence[str], sep: str) -> str:
     return header_line(names, sep) + LINE_END
 
@@ -111,19 +136,27 @@ def write_in_order(df: DataFrame, path: str, max_bytes: int = MAX_PART_BYTES, se
     """Write one file for each part and return the ``part_layout``; an existing ``path`` is never overwritten.
 
     Folders ``folder=00000``, ``folder=00001`` … hold 2^15 files each, and file names sort in the order of the rows.
-    One shuffle moves lines to the task of their part; a task sorts its lines, on disk where they are many. An
-    empty table writes no file.
+    One shuffle moves lines to the task of their part; a task sorts its lines, on disk where they are many. Parts of
+    1 MiB at most share tasks, in runs of consecutive ones, and each is joined in memory. An empty table writes no file.
     """
     names = list(names or df.columns)
     placed = place_lines(df, max_bytes, sep, names)
     layout = part_layout(placed)
     last = layout.agg(F.max("part").alias("last")).first()["last"]
+    parts = (last if last is not None else -1) + 1
     value = F.when(F.col("row") == F.col("first_row"), F.concat(F.lit(_head(names, sep)), F.col("line"))).otherwise(F.col("line"))
-    tasks = min((last or 0) + 1, 1 << FOLDER_BITS)
-    (placed.repartitionById(tasks, (F.col("part") % (1 << FOLDER_BITS)).cast("int"))
-     .select(_folder(F.col("part")).alias("folder"), "row", value.alias("value"))
-     .sortWithinPartitions("folder", "row").select("folder", "value")
-     .write.mode("errorifexists").option("lineSep", LINE_END).partitionBy("folder").text(path))
+    lines = placed.select("part", _folder(F.col("part")).alias("folder"), "row", value.alias("value"))
+    if max_bytes <= SMALL_PART:
+        share = max(1, min(GROUP_BYTES // max_bytes, GROUP_PARTS, parts // LEAST_GROUPS))
+        group = F.floor(F.col("part") / share).cast("int")
+        whole = lines.repartitionById(max(1, -(-parts // share)), group).sortWithinPartitions("part", "row") \
+            .mapInArrow(_joined, "part long, folder string, value string")
+        sink = whole.sortWithinPartitions("folder", "part").select("folder", "value").write.option("maxRecordsPerFile", 1)
+    else:
+        tasks = max(1, min(parts, 1 << FOLDER_BITS))
+        sink = (lines.repartitionById(tasks, (F.col("part") % (1 << FOLDER_BITS)).cast("int"))
+                .sortWithinPartitions("folder", "row").select("folder", "value").write)
+    sink.mode("errorifexists").option("lineSep", LINE_END).partitionBy("folder").text(path)
     return layout
 
 

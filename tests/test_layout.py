@@ -102,3 +102,14 @@ def test_result_keeps_its_counters_and_order(spark, put, tmp_path):
     assert [line for c in contents for line in c.split(LINE_END)[1:-1]] == [f"{k},'=x{k}" for k in range(120) if k % 3]
     with pytest.raises(ValueError, match="only analyses"):
         write_result_in_order(clean(table, "profile"), str(tmp_path / "none"))
+
+
+def test_small_parts_share_tasks(spark, tmp_path):
+    """One file for each part, names in order, but not one task for each."""
+    df = spark.range(3000).selectExpr("id", "repeat('y', 60 + cast(id % 5 as int)) as note").orderBy("id")
+    parts = layout.write_in_order(df, str(tmp_path / "out"), 700).count()
+    files = sorted((tmp_path / "out").rglob("part-*.txt"))
+    assert len(files) == parts > 200 and len({f.name.split("-")[1] for f in files}) <= parts // 2
+    lines = [line for f in files for line in f.read_text("utf-8-sig").split("\n")[1:-1]]
+    assert [line.split(",")[0] for line in lines] == [str(n) for n in range(3000)]
+    assert max(f.stat().st_size for f in files) <= 700
