@@ -218,8 +218,8 @@ def _advance(batches: Iterator[pa.RecordBatch], last: bool, in_steps: bool) -> I
         yield row()
 
 
-def _in_steps(spark: SparkSession, glob: str, large: DataFrame, step: int) -> tuple[DataFrame | None, list[str]]:
-    """``path, length, sha256`` of the files ``large``, and the paths of those that lines of bounded length do not give whole.
+def _in_steps(spark: SparkSession, glob: str, large: DataFrame, above: int, step: int) -> tuple[DataFrame | None, list[str]]:
+    """``path, length, sha256`` of the files ``large``, ``above`` that size, and the paths of those that lines of bounded length do not give whole.
 
     Tasks read splits and write their bytes under the scratch folder, by step. Then there is a job for each step,
     in which one task for each file that goes on reads the bytes of that step and the state the last one left.
@@ -233,7 +233,7 @@ def _in_steps(spark: SparkSession, glob: str, large: DataFrame, step: int) -> tu
     folder = scratch_folder(spark, "digest")
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     lines = reader.option("mapreduce.input.linerecordreader.line.maxlength", LONGEST_LINE).text(glob).filter(
-        (F.col("_metadata.file_size") > step) & ~F.col("_metadata.file_path").rlike(PACKED))
+        (F.col("_metadata.file_size") > above) & ~F.col("_metadata.file_path").rlike(PACKED))
     # The reader drops a longer line or cuts it; what it cut is dropped here, so that the sizes tell.
     lines.filter(F.octet_length("value") < LONGEST_LINE - 4) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
@@ -278,9 +278,9 @@ def manifest(spark: SparkSession, glob: str, step: int = DIGEST_STEP) -> DataFra
     def files(condition: Column) -> DataFrame:
         return _binary(spark, glob).filter(condition)
 
-    path = F.col("_metadata.file_path")
-    packed, small = path.rlike(PACKED), F.col("_metadata.file_size") <= step
-    stepped, rest = _in_steps(spark, glob, files(~small & ~packed).select(path.alias("path"), "length"), step)
+    path, above = F.col("_metadata.file_path"), min(step, DIGEST_LIMIT)
+    packed, small = path.rlike(PACKED), F.col("_metadata.file_size") <= above
+    stepped, rest = _in_steps(spark, glob, files(~small & ~packed).select(path.alias("path"), "length"), above, step)
     apart = packed | path.isin(rest) if rest else packed
     hashed = files((F.col("length") <= DIGEST_LIMIT) & (small | apart)).select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
     large = files((F.col("length") > DIGEST_LIMIT) & apart).select(path.alias("path"), "length")
